@@ -60,3 +60,19 @@ def lower_ascii(c: Column | str) -> Column:
     """A-Z only: other letters are left alone, unlike ``lower``."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
+
+def by_ranges(df: DataFrame, key: Column, n: int) -> tuple[Column, int]:
+    """The number of the range that a row's key falls in, 0 and up, and how many ranges there are.
+
+    n ranges of about as many rows each; the driver gets one bound for each, whatever the size of
+    the table. Equal keys share a range."""
+    bounds = sorted({int(x) for x in df.select(key.cast("double").alias("k")).approxQuantile("k", [i / n for i in range(1, n)], 0.1 / n)}) if n > 1 else []
+    return _above(key, bounds).cast("int"), len(bounds) + 1
+
+
+def _above(key: Column, bounds: list[int]) -> Column:
+    """How many of the sorted bounds are not above the key, by halving."""
+    if not bounds:
+        return F.lit(0)
+    m = len(bounds) // 2
+    return F.when(key < bounds[m], _above(key, bounds[:m])).otherwise(_above(key, bounds[m + 1 :]) + (m + 1))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilmark.llm.common import parts_for
+from veilmark.llm.common import by_ranges, parts_for
 
 K, S = 40, 8
 _B = np.uint64(0x9E3779B97F4A7C15)
@@ -151,26 +151,16 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     key = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
     n = parts_for(spark, rows.agg(F.sum(F.octet_length("text"))).first()[0], 24 << 20)
-    # One number for each range: as many as there are partitions, whatever the size of the table.
-    bounds = sorted({int(x) for x in rows.select(key.cast("double").alias("k")).approxQuantile("k", [i / n for i in range(1, n)], 0.1 / n)}) if n > 1 else []
-    ranges = F.lit(0) if not bounds else F.aggregate(F.lit(bounds), F.lit(0), lambda a, b: a + (key >= b).cast("int")) if len(bounds) < 16 else _bisect(key, bounds)
-    rows = rows.withColumn("b", ranges.cast("int"))
+    ranges, n = by_ranges(rows, key, n)
+    rows = rows.withColumn("b", ranges)
     first = rows.groupBy("b").agg(F.min(key).alias("k"))
     before = first.join(_previous(first), "b").select("k", "to")
     tails = rows.join(F.broadcast(before), key == F.col("k")).select("doc_id", "text", F.col("to").alias("b"), F.lit(1).alias("tail"))
     dealt = rows.select("doc_id", "text", "b", F.lit(0).alias("tail")).unionByName(tails)
-    dealt = dealt.repartitionById(len(bounds) + 1, F.col("b")).sortWithinPartitions("tail", F.col("doc_id").asc_nulls_first(), "text")
+    dealt = dealt.repartitionById(n, F.col("b")).sortWithinPartitions("tail", F.col("doc_id").asc_nulls_first(), "text")
     return dealt.select("doc_id", "text", "tail").mapInArrow(_edited, EDITED)
 
 
-def _bisect(key, bounds: list[int]):
-    """How many of the sorted bounds are not above the key, by halving."""
-    if not bounds:
-        return F.lit(0)
-    m = len(bounds) // 2
-    return F.when(key < bounds[m], _bisect(key, bounds[:m])).otherwise(_bisect(key, bounds[m + 1 :]) + (m + 1))
-
-
 def _previous(first: DataFrame) -> DataFrame:
     """For each range with rows, the range that precedes it; the last precedes the first."""
     spark = first.sparkSession
