@@ -3,10 +3,13 @@
 The order of suffixes is built block by block over a difference cover, so that no task holds more
 than one block of text or one bucket of suffixes:
 
-* Cover sample. D is a difference cover modulo 31: for any two positions i, j there is a d < 31 with
-  both i + d and j + d in the cover. Two equal strings of 50 bytes thus share a cover suffix at the
-  same distance from their starts, and the first 20 bytes of that suffix lie inside both. Those
-  prefixes get names, and names are compared across blocks, bucket by bucket.
+* Chunks. Texts are cut where their content says so, every 64 bytes or so. A chunk with the 49 bytes
+  that follow it fixes every string of 50 that starts in it. If an earlier document has it too, all
+  of these are repeats, and their suffixes need no place in the order: the first copy stands for them.
+* Cover sample of what remains. D is a difference cover modulo 31: for any two positions i, j there
+  is a d < 31 with both i + d and j + d in the cover. Two equal strings of 50 bytes thus share a
+  cover suffix at the same distance from their starts, and the first 20 bytes of that suffix lie
+  inside both. Those prefixes get names, and names are compared across blocks, bucket by bucket.
 * Suffix buckets. Only suffixes that start up to 30 bytes before a cover suffix with a shared name
   can start a repeat. These go to buckets by a digest of their first 50 bytes, and each bucket is
   sorted by itself. Suffixes are only told apart up to 50 bytes, so ties that go deeper need no
@@ -14,8 +17,8 @@ than one block of text or one bucket of suffixes:
 
 Documents are dealt to blocks by ranges of doc_id. An earlier block then holds smaller ids only, so
 a bucket sends back one bit for each distinct suffix of a block (does an earlier block have it), and
-suffixes carry neither document nor position. Suffixes that repeat within a block are sent once, so
-copies of a passage, however many, come to one suffix for each block.
+suffixes carry neither document nor position. What repeats within a block is sent once, so copies of
+a passage, however many, come to one suffix for each block.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -69,18 +73,28 @@ class Block:
             h = _mix(h * _P[0] + self.word[at + d])
         return h
 
-    def cover(self) -> tuple[np.ndarray, np.ndarray]:
-        """Positions of the cover sample and their documents."""
-        base = np.arange(0, self.n, MODULUS)
-        at = (base[:, None] + np.array(COVER)).ravel()
+    def chunks(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Starts, ends and documents of all chunks, and digests of two words each."""
+        cut = np.flatnonzero(_mix(self.word[: self.n] * _P[0]) >> np.uint64(58) == 0)
+        cut = cut[cut + 8 <= self.ends[self.owner(cut)]]
+        starts = np.union1d(cut, self.starts[self.starts < self.ends])
+        ends = np.append(starts[1:], self.n)
+        owner = self.owner(starts)
+        stops = np.minimum(ends + WINDOW - 1, self.ends[owner])
+        digest, view = xxhash.xxh3_128_digest, memoryview(self.buffer)
+        made = b"".join([digest(view[a:z], c) for a, z, c in zip(starts.tolist(), stops.tolist(), (ends - starts).tolist())])
+        return starts, ends, owner, np.frombuffer(made, np.uint64).reshape(-1, 2)
+
+    def names(self, bits: int, remains: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Cover positions that a remaining string of 50 can hold, their documents, and names: the
+        bucket's number above 32 bits of digest."""
+        before = np.concatenate([[0], np.cumsum(remains, dtype=np.int32)])
+        at = (np.arange(0, self.n, MODULUS)[:, None] + np.array(COVER)).ravel()
         at = at[at + NAMED <= self.n]
+        at = at[before[at + 1] > before[np.maximum(at - MODULUS + 1, 0)]]
         owner = self.owner(at)
         fits = at + NAMED <= self.ends[owner]
-        return at[fits], owner[fits]
-
-    def names(self, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Cover positions, documents and names: the bucket's number above 32 bits of digest."""
-        at, owner = self.cover()
+        at, owner = at[fits], owner[fits]
         h = self.digest(at, NAMED)
         return at, owner, ((h >> np.uint64(63 - bits) >> np.uint64(1)) << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF))
 
@@ -121,29 +135,51 @@ class Sent:
         return np.concatenate(bits)[self.index] if bits else np.empty(0, bool)
 
 
-def _named(block: Block, bits: int) -> tuple[np.ndarray, Sent]:
-    at, owner, name = block.names(bits)
+def _bucket(h: np.ndarray, bits: int) -> np.ndarray:
+    return h >> np.uint64(63 - bits) >> np.uint64(1)
+
+
+def _chunked(block: Block, bits: int) -> tuple[tuple, Sent]:
+    starts, ends, owner, digest = block.chunks()
+    return (starts, ends, owner), Sent(_bucket(digest[:, 0], bits), digest[:, 1], block.rank[owner], 1 << bits)
+
+
+def _repeats(block: Block, bits: int, masks: dict[int, bytes]) -> np.ndarray:
+    """For each byte: does a string of 50 start here that a chunk of an earlier document has?"""
+    (starts, ends, owner), sent = _chunked(block, bits)
+    known = sent.answers(masks) | (sent.first[sent.index] < block.rank[owner])
+    out = np.repeat(known, ends - starts)
+    return out
+
+
+def _whole(block: Block) -> np.ndarray:
+    """For each byte: does a string of 50 start here at all?"""
+    lens = block.ends - block.starts
+    some = np.maximum(lens - WINDOW + 1, 0)
+    return np.repeat(np.tile([True, False], len(lens)), np.stack([some, lens - some], 1).ravel())
+
+
+def _named(block: Block, bits: int, remains: np.ndarray) -> tuple[np.ndarray, Sent]:
+    at, owner, name = block.names(bits, remains)
     return at, Sent(name >> np.uint64(32), name.astype(np.uint32), block.rank[owner], 1 << bits)
 
 
-def _candidates(block: Block, name_bits: int, bits: int, masks: dict[int, bytes]) -> tuple[np.ndarray, Sent]:
-    """Starts of all strings of 50 bytes that may repeat, and what is sent about them."""
-    at, names = _named(block, name_bits)
+def _candidates(block: Block, bits: list[int], remains: np.ndarray, masks: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray, Sent]:
+    """Starts of all remaining strings of 50 bytes that may repeat, and what is sent about them."""
+    at, names = _named(block, bits[1], remains)
     shared = names.answers(masks) | (names.first != names.last)[names.index]
     at = at[shared]
     edge = np.bincount(np.maximum(at - MODULUS + 1, 0), minlength=block.n + 1)[: block.n + 1] - np.bincount(at + 1, minlength=block.n + 1)[: block.n + 1]
-    start = np.flatnonzero(np.cumsum(edge[: block.n]) > 0)
+    start = np.flatnonzero((np.cumsum(edge[: block.n]) > 0) & remains)
     owner = block.owner(start)
-    fits = start + WINDOW <= block.ends[owner]
-    start, owner = start[fits], owner[fits]
     h = block.digest(start, WINDOW)
-    bucket = _mix(h * _P[2] + block.word[start] * _P[0] + block.word[start + WINDOW - 8]) >> np.uint64(63 - bits) >> np.uint64(1)
-    return start, Sent(bucket, h, block.rank[owner], 1 << bits)
+    other = _mix(h * _P[2] + block.word[start] * _P[0] + block.word[start + WINDOW - 8])
+    return start, owner, Sent(_bucket(other, bits[2]), h, block.rank[owner], 1 << bits[2])
 
 
 def _blocks(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Block, dict[int, dict[int, bytes]]]]:
     """A partition is a block: answers first (by step and bucket), then documents."""
-    ids, texts, masks, b = [], [], {1: {}, 2: {}}, -1
+    ids, texts, masks, b = [], [], {1: {}, 2: {}, 3: {}}, -1
     for batch in it:
         for kind, at, bucket, doc, data in zip(*(batch[c].to_pylist() for c in ("kind", "b", "bucket", "doc_id", "data"))):
             b = at
@@ -166,8 +202,8 @@ def _send(b: int, sent: Sent) -> Iterator[pa.RecordBatch]:
 
 
 def _compared(step: int):
-    """One bucket of suffixes: for each block's, is it in any other block (1), in an earlier one (2)?"""
-    dtype = np.uint32 if step == 1 else np.uint64
+    """One bucket: for each block's entries, is it in any other block (names), in an earlier one (else)?"""
+    dtype = np.uint32 if step == 2 else np.uint64
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
@@ -184,7 +220,7 @@ def _compared(step: int):
             rows.sort(key=lambda r: r[0])
             values = [np.frombuffer(d, dtype) for _, d in rows]
             order, starts, run_of = _groups(np.concatenate(values))
-            if step == 1:
+            if step == 2:
                 bit = np.diff(np.append(starts, len(order)))[run_of] > 1
             else:
                 bit = np.ones(len(order), bool)
@@ -199,8 +235,7 @@ def _compared(step: int):
 _KEPT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("removed", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), ("kept", pa.binary())])
 
 
-def _cut(block: Block, start: np.ndarray, repeat: np.ndarray) -> Iterator[pa.RecordBatch]:
-    at = start[repeat]
+def _cut(block: Block, at: np.ndarray) -> Iterator[pa.RecordBatch]:
     gone = np.cumsum(np.bincount(at, minlength=block.n + 1) - np.bincount(at + WINDOW, minlength=block.n + 1)[: block.n + 1])[: block.n] > 0
     rows: list[tuple] = []
     size = 0
@@ -236,10 +271,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     b, n = by_ranges(rows, key, parts_for(spark, size, BLOCK))
     texts = rows.select(F.lit(0).alias("kind"), b.alias("b"), F.lit(0).alias("bucket"), "doc_id", "data")
 
-    def bits(suffixes: float) -> int:
-        return max(4, int(np.ceil(np.log2(max(1.0, suffixes / BUCKET)))))
-
-    name_bits, bits_ = bits(size * len(COVER) / MODULUS), bits(size)
+    # Buckets of chunks, names and suffixes, each of a bounded number of entries.
+    bits = [max(4, int(np.ceil(np.log2(max(1.0, size * share / BUCKET))))) for share in (1 / 64, len(COVER) / MODULUS, 1)]
 
     def blocks(*answers: DataFrame) -> DataFrame:
         all_rows = texts
@@ -251,20 +284,30 @@ def without_repeats(docs: DataFrame) -> DataFrame:
         dealt = sent.repartitionById(1 << width, F.col("bucket")).sortWithinPartitions("bucket", "b")
         return written(dealt.mapInArrow(_compared(step), "bucket int, b int, data binary"), f"answers{step}")
 
-    def name(it):
+    def remains(block, masks):
+        return _whole(block) & ~_repeats(block, bits[0], masks[1])
+
+    def chunk(it):
         for at, block, _ in _blocks(it):
-            yield from _send(at, _named(block, name_bits)[1])
+            yield from _send(at, _chunked(block, bits[0])[1])
+
+    def name(it):
+        for at, block, masks in _blocks(it):
+            yield from _send(at, _named(block, bits[1], remains(block, masks))[1])
 
     def suffix(it):
         for at, block, masks in _blocks(it):
-            yield from _send(at, _candidates(block, name_bits, bits_, masks[1])[1])
+            yield from _send(at, _candidates(block, bits, remains(block, masks), masks[2])[2])
 
     def cut(it):
         for _, block, masks in _blocks(it):
-            start, sent = _candidates(block, name_bits, bits_, masks[1])
-            yield from _cut(block, start, sent.answers(masks[2]) | (sent.first[sent.index] < block.rank[block.owner(start)]))
+            left = remains(block, masks)
+            start, owner, sent = _candidates(block, bits, left, masks[2])
+            later = sent.answers(masks[3]) | (sent.first[sent.index] < block.rank[owner])
+            yield from _cut(block, np.concatenate([np.flatnonzero(_whole(block) & ~left), start[later]]))
 
     sent = "bucket int, b int, data binary"
-    one = answered(blocks().mapInArrow(name, sent), 1, name_bits)
-    two = answered(blocks(one).mapInArrow(suffix, sent), 2, bits_)
-    return blocks(one, two).mapInArrow(cut, "doc_id long, n_bytes long, removed array<struct<start:long,stop:long>>, kept binary")
+    one = answered(blocks().mapInArrow(chunk, sent), 1, bits[0])
+    two = answered(blocks(one).mapInArrow(name, sent), 2, bits[1])
+    three = answered(blocks(one, two).mapInArrow(suffix, sent), 3, bits[2])
+    return blocks(one, two, three).mapInArrow(cut, "doc_id long, n_bytes long, removed array<struct<start:long,stop:long>>, kept binary")
