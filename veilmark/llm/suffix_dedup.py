@@ -38,7 +38,7 @@ COVER, MODULUS = (0, 1, 3, 8, 12, 18), 31
 WINDOW = 50
 NAMED = WINDOW - MODULUS + 1
 #: Bytes of text in a block, and suffixes in a bucket.
-BLOCK, BUCKET = 8 << 20, 4 << 20
+BLOCK, BUCKET = 4 << 20, 4 << 20
 _P = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
