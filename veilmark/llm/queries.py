@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from veilmark.llm.common import table
 from veilmark.llm.fingerprints import edited_fingerprints
+from veilmark.llm.line_runs import without_repeated_runs
 from veilmark.llm.suffix_dedup import without_repeats
+from veilmark.llm.unit_dedup import ORACLE as UNIT_ORACLE
+from veilmark.llm.unit_dedup import without_repeated_units
 
 
 def op1_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,9 +30,29 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_unit_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = without_repeated_units(table(spark, sf_dir, "documents"))
+    return kept.select(
+        "doc_id",
+        "n_units",
+        F.size("removed").cast("long").alias("n_removed"),
+        F.array_join(F.transform("removed", lambda x: F.concat_ws("-", x["start"], x["stop"])), ",").alias("removed_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
+def op4_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = without_repeated_runs(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.array_join("removed", ",").alias("removed_lines"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_closed_syncmers": op1_closed_syncmers,
     "op2_suffix_dedup": op2_suffix_dedup,
+    "op3_unit_hashing": op3_unit_hashing,
+    "op4_line_runs": op4_line_runs,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op3_unit_hashing": UNIT_ORACLE,
+}
