@@ -8,11 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilmark.llm.common import table
+from veilmark.llm.decontam import ORACLE as DECONTAM_ORACLE
+from veilmark.llm.decontam import contaminated
 from veilmark.llm.fingerprints import edited_fingerprints
 from veilmark.llm.line_runs import without_repeated_runs
+from veilmark.llm.mixing import mixed
+from veilmark.llm.simhash import groups
 from veilmark.llm.suffix_dedup import without_repeats
 from veilmark.llm.unit_dedup import ORACLE as UNIT_ORACLE
 from veilmark.llm.unit_dedup import without_repeated_units
+from veilmark.llm.url_reputation import judged
 
 
 def op1_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,13 +51,36 @@ def op4_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.array_join("removed", ",").alias("removed_lines"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return own.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = contaminated(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return own.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op7_fair_queueing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed(table(spark, sf_dir, "documents"))
+
+
+def op8_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_closed_syncmers": op1_closed_syncmers,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_unit_hashing": op3_unit_hashing,
     "op4_line_runs": op4_line_runs,
+    "op5_simhash_ball": op5_simhash_ball,
+    "op6_decontamination": op6_decontamination,
+    "op7_fair_queueing": op7_fair_queueing,
+    "op8_host_reputation": op8_host_reputation,
 }
 
 ORACLE: dict[str, str] = {
     "op3_unit_hashing": UNIT_ORACLE,
+    "op6_decontamination": DECONTAM_ORACLE,
 }
