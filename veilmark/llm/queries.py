@@ -11,10 +11,12 @@ from veilmark.llm.common import table
 from veilmark.llm.decontam import ORACLE as DECONTAM_ORACLE
 from veilmark.llm.decontam import contaminated
 from veilmark.llm.fingerprints import edited_fingerprints
+from veilmark.llm.html_main import extracted
 from veilmark.llm.line_runs import without_repeated_runs
 from veilmark.llm.mixing import mixed
 from veilmark.llm.simhash import groups
 from veilmark.llm.suffix_dedup import without_repeats
+from veilmark.llm.toxicity import toxicity
 from veilmark.llm.unit_dedup import ORACLE as UNIT_ORACLE
 from veilmark.llm.unit_dedup import without_repeated_units
 from veilmark.llm.url_reputation import judged
@@ -69,6 +71,14 @@ def op8_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 
+def op9_factorization_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extracted(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_closed_syncmers": op1_closed_syncmers,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -78,6 +88,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_decontamination": op6_decontamination,
     "op7_fair_queueing": op7_fair_queueing,
     "op8_host_reputation": op8_host_reputation,
+    "op9_factorization_machine": op9_factorization_machine,
+    "op10_tree_scoring": op10_tree_scoring,
 }
 
 ORACLE: dict[str, str] = {
