@@ -6,8 +6,10 @@ documents, in the order of document counts. A window with a shingle that no docu
 Documents meet windows on that one shingle; position and length bounds drop windows that would start
 before the document or run beyond it; and each survivor is compared word for word with the document.
 
-Item shingles are broadcast only if they are ``BROADCAST`` at most, by count; beyond that they are
-joined by shuffle.
+A document's shingles are first looked up in a map of bits of all item shingles, ``LONGS`` longs, whatever
+the number of items; the few that remain take along the words around them, so that the comparison needs
+no second look at the text, and no text is shuffled. Item shingles are broadcast only if they are
+``BROADCAST`` at most, by count; beyond that they are joined by shuffle.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ from veilmark.llm.common import lower_ascii, written
 WINDOW, SHINGLE = 10, 5
 #: Of 8 bytes each, with as much again for the hash table.
 BROADCAST = 500_000
+#: 2^20 bits: with 10,000 item shingles, one in a hundred others gets through to the join.
+LONGS = 1 << 14
 NO_ID = -(2**63)
 _GAP = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
@@ -73,26 +77,39 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingl
     if own.count() <= BROADCAST:
         wanted = F.broadcast(wanted)
 
-    # One pass over the texts: which positions hold a wanted shingle, and a row for each document.
+    # A bit for each item shingle: LONGS numbers at most, summed up by Spark.
+    slot, bit = F.pmod("s", F.lit(LONGS)), F.expr("cast(pmod(shiftright(s, 32), 64) as int)")
+    bits = {r[0]: r[1] for r in own.groupBy(slot.alias("slot")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("v")).collect()}
+    table = F.split(F.lit(",".join(str(bits.get(i, 0)) for i in range(LONGS))), ",").cast("array<bigint>")
+
+    def known(s: Column) -> Column:
+        return F.getbit(F.get(table, F.pmod(s, F.lit(LONGS)).cast("int")), F.pmod(F.shiftright(s, 32), F.lit(64)).cast("int")) == 1
+
+    # One pass over the texts: which positions may hold a wanted shingle, with the words around each, and
+    # a row for each document.
     here = keyed.select("_k", "_h", words_of("text").alias("w"))
-    cells = F.concat(*(F.transform(shingles("w", n), lambda x, n=n: F.struct(x["p"], x["s"], F.lit(n).alias("n"))) for n in shapes)) if len(shapes) > 1 else F.transform(_positions("w", shapes[0]), lambda i: F.struct(i.alias("p"), _hash(F.col("w"), i, shapes[0]).alias("s"), F.lit(shapes[0]).alias("n")))
-    row = F.array(F.struct(F.lit(-1).alias("p"), F.lit(0).cast("long").alias("s"), F.lit(0).alias("n")))
-    cells = here.select("_k", "_h", F.size("w").alias("n_words"), F.explode(F.concat(row, cells)).alias("x")).select("_k", "_h", "n_words", "x.p", "x.s", "x.n")
-    seen = written(cells.join(wanted.withColumn("hit", F.lit(True)), ["s", "n"], "left").where("p < 0 or hit").drop("hit"), "seen")
+    around = window - min(shingle, window)
+
+    def cell(n: int):
+        def make(x: Column) -> Column:
+            start = F.greatest(x["p"] - around, F.lit(0))
+            return F.struct(x["p"].alias("p"), x["s"].alias("s"), F.lit(n).alias("n"), start.alias("c"), F.slice("w", start + 1, x["p"] + n + around - start).alias("near"))
+
+        return make
+
+    cells = [F.transform(F.filter(shingles("w", n), lambda x: known(x["s"])), cell(n)) for n in shapes]
+    row = F.array(F.struct(F.lit(-1).alias("p"), F.lit(0).cast("long").alias("s"), F.lit(0).alias("n"), F.lit(0).alias("c"), F.array().cast("array<string>").alias("near")))
+    rows = here.select("_k", "_h", F.size("w").alias("n_words"), F.explode(F.concat(row, *cells)).alias("x")).select("_k", "_h", "n_words", "x.*")
+    seen = written(rows.join(wanted.withColumn("hit", F.lit(True)), ["s", "n"], "left").where("p < 0 or hit").drop("hit"), "seen")
     found = seen.where("p >= 0")
 
     # Rarity over all documents; the prefix of a window is its rarest shingle.
     rarity = found.select("s", "n", "_k", "_h").distinct().groupBy("s", "n").agg(F.count("*").alias("df"))
     ranked = own.join(rarity, ["s", "n"], "left")
     prefix = ranked.groupBy("win", "tokens", "m", "n").agg(F.min(F.struct("df", "o", "s")).alias("x"), F.count("df").alias("known"), F.count("*").alias("all")).where("known = all")
-    prefix = written(prefix.select("win", "m", "n", F.col("x.s").alias("s"), F.col("x.o").alias("o")), "prefix")
-    may = found.join(prefix, ["s", "n"]).select("_k", "_h", (F.col("p") - F.col("o")).alias("at"), "m", "win", "n_words").where("at >= 0 and at + m <= n_words").distinct()
-    may = written(may.groupBy("_k", "_h").agg(F.collect_list(F.struct("win", "at", "m")).alias("may")), "may")
-
-    # Word for word: the digests only chose what to compare.
-    doc = here.join(may, ["_k", "_h"]).dropDuplicates(["_k", "_h"])
-    pairs = doc.select("_k", "_h", F.explode(F.transform("may", lambda x: F.struct(x["win"].alias("win"), x["at"].alias("at"), x["m"].alias("m"), F.slice("w", x["at"] + 1, x["m"]).alias("tokens")))).alias("x")).select("_k", "_h", "x.*")
-    sure = pairs.join(wins.select("win", "tokens", "ids"), ["win", "tokens"])
+    prefix = written(prefix.join(wins.select("tokens", "ids"), "tokens").select("tokens", "ids", "m", "n", F.col("x.s").alias("s"), F.col("x.o").alias("o")), "prefix")
+    at = F.col("p") - F.col("o")
+    sure = found.join(prefix, ["s", "n"]).withColumn("at", at).where((F.col("at") >= 0) & (F.col("at") + F.col("m") <= F.col("n_words")) & (F.slice("near", F.greatest(F.col("at") - F.col("c") + 1, F.lit(1)), F.col("m")) == F.col("tokens")))
     hits = sure.groupBy("_k", "_h").agg(
         F.size(F.array_distinct(F.flatten(F.collect_set(F.sequence(F.col("at"), F.col("at") + F.col("m") - 1))))).cast("long").alias("n_hit"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("ids")))).alias("items"),
