@@ -55,14 +55,15 @@ def simhash(text: str | None, words: int) -> int:
 def _hashed(words: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([simhash(t, words) for t in batch["text"].to_pylist()], pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_hash"], pa.array([simhash(t, words) for t in batch["text"].to_pylist()], pa.int64())], ["doc_id", "text_hash", "fp"])
 
     return run
 
 
 def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
-    """doc_id and fp (long). A text of fewer words: one shingle; of none, or null: zero."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_hashed(words), "doc_id long, fp long")
+    """doc_id, text_hash (XXH64 of the text) and fp (long). A text of fewer words: one shingle; of none, or
+    null: zero."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(_hashed(words), "doc_id long, text_hash long, fp long")
 
 
 def _rows(bits: int) -> np.ndarray:
@@ -157,13 +158,28 @@ def linked_fingerprints(fps: DataFrame) -> DataFrame:
 
 
 def groups(docs: DataFrame, words: int = 4) -> DataFrame:
-    """doc_id, fp and component_id: the smallest doc_id that links within 4 bits reach.
+    """doc_id, text_hash, fp, group (the least fingerprint of the component) and component_id: the smallest
+    doc_id that links within 4 bits reach.
 
     A row for each row of ``docs``. Null or blank text: fingerprint zero, linked like any other. Null
     doc_id: stays null and names no component unless nothing else does. Empty table: no rows."""
     own = written(fingerprints(docs, words), "simhash")
     fps = written(own.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     part = components(linked_fingerprints(fps.select("fp")))
-    least = fps.join(part, fps.fp == part.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("part"))
-    named = least.groupBy("part").agg(F.min("first").alias("component_id"))
-    return own.join(least.select("fp", "part").join(named, "part").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    least = fps.join(part, fps.fp == part.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("group"))
+    named = least.groupBy("group").agg(F.min("first").alias("component_id"))
+    return own.join(least.select("fp", "group").join(named, "group"), "fp").select("doc_id", "text_hash", "fp", "group", "component_id")
+
+
+def without_near_copies(docs: DataFrame, words: int = 5) -> DataFrame:
+    """The rows of ``docs`` but for near copies: of each group the row of the least (doc_id, text digest)
+    stays, once. Null doc_ids come last."""
+    own = written(groups(docs.select("doc_id", "text"), words), "groups")
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
+    first = own.groupBy("group").agg(F.min(rank).alias("first"))
+    gone = written(own.join(first, "group").where(rank != F.col("first")).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t")).distinct(), "gone")
+    keyed = docs.withColumn("_h", F.xxhash64("text"))
+    kept = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_t")), "left_anti")
+    if own.groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count():
+        kept = kept.dropDuplicates(["doc_id", "_h"])  # rows repeated in full
+    return kept.drop("_h")
