@@ -169,17 +169,3 @@ def groups(docs: DataFrame, words: int = 4) -> DataFrame:
     least = fps.join(part, fps.fp == part.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("group"))
     named = least.groupBy("group").agg(F.min("first").alias("component_id"))
     return own.join(least.select("fp", "group").join(named, "group"), "fp").select("doc_id", "text_hash", "fp", "group", "component_id")
-
-
-def without_near_copies(docs: DataFrame, words: int = 5) -> DataFrame:
-    """The rows of ``docs`` but for near copies: of each group the row of the least (doc_id, text digest)
-    stays, once. Null doc_ids come last."""
-    own = written(groups(docs.select("doc_id", "text"), words), "groups")
-    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
-    first = own.groupBy("group").agg(F.min(rank).alias("first"))
-    gone = written(own.join(first, "group").where(rank != F.col("first")).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t")).distinct(), "gone")
-    keyed = docs.withColumn("_h", F.xxhash64("text"))
-    kept = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_t")), "left_anti")
-    if own.groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id", "_h"])  # rows repeated in full
-    return kept.drop("_h")
