@@ -14,7 +14,7 @@ from veilmark.llm.common import table, written
 from veilmark.llm.decontam import contaminated
 from veilmark.llm.line_runs import without_repeated_runs
 from veilmark.llm.mixing import mixture
-from veilmark.llm.simhash import without_near_copies
+from veilmark.llm.near_copies import without_near_copies
 from veilmark.llm.toxicity import scored, trained
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -35,8 +35,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, over shingles of five words, one document stays."""
-    return without_near_copies(docs.select(COLUMNS), words=5)
+    """Of each group of near copies, 0.8 alike or more in shingles of five words, one document stays."""
+    return without_near_copies(docs.select(COLUMNS))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
