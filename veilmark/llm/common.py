@@ -76,3 +76,9 @@ def _above(key: Column, bounds: list[int]) -> Column:
         return F.lit(0)
     m = len(bounds) // 2
     return F.when(key < bounds[m], _above(key, bounds[:m])).otherwise(_above(key, bounds[m + 1 :]) + (m + 1))
+
+
+def shielded(docs: DataFrame, *own: str) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with columns that bear a name an operator uses itself renamed, and how to name them back."""
+    new = {c: f"_kept_{i}" for i, c in enumerate(docs.columns) if c.lower() in own}
+    return docs.withColumnsRenamed(new), {v: k for k, v in new.items()}

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilmark.llm.common import lower_ascii, written
+from veilmark.llm.common import lower_ascii, shielded, written
 
 WINDOW, SHINGLE = 10, 5
 #: Of 8 bytes each, with as much again for the hash table.
@@ -59,7 +59,7 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingl
     Null text: no words, no hit. Null doc_id: as any other. Rows equal in doc_id and text get equal
     results. No items, or only such without words: no hits. Empty table: no rows. Columns of ``docs``
     that bear the new names are replaced."""
-    docs = docs.drop("n_words", "n_hit", "items")
+    docs, back = shielded(docs.drop("n_words", "n_hit", "items"), "_k", "_h")
     keyed = docs.select("*", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_k"), F.xxhash64("text").alias("_h"))
     wins = written(item_windows(items, window).groupBy("tokens", "m").agg(F.array_sort(F.collect_set("item")).alias("ids")).withColumn("win", F.xxhash64("tokens")), "windows")
     shapes = sorted(min(r[0], shingle) for r in wins.select("m").distinct().collect())  # as many as there are lengths up to the window's
@@ -116,7 +116,7 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingl
     )
     counted = seen.where("p < 0").select("_k", "_h", F.col("n_words").cast("long").alias("n_words")).distinct()
     facts = written(counted.join(hits, ["_k", "_h"], "left").select("_k", "_h", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items")), "hits")
-    return keyed.join(facts, ["_k", "_h"]).select(*docs.columns, "n_words", "n_hit", "items")
+    return keyed.join(facts, ["_k", "_h"]).select(*docs.columns, "n_words", "n_hit", "items").withColumnsRenamed(back)
 
 
 #: The same in DuckDB's SQL, for the columns of the query.

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilmark.llm.common import written
+from veilmark.llm.common import shielded, written
 
 MIN_WORDS = 25
 NO_ID = -(2**63)
@@ -101,7 +101,7 @@ def without_repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFr
     Null doc_id: before all others. Rows equal in doc_id and text are one document. Overlapping
     copies within a document: later lines go. Empty table: no rows. Columns of ``docs`` that bear
     the new names are replaced."""
-    docs = docs.drop("n_lines", "removed", "kept")
+    docs, back = shielded(docs.drop("n_lines", "removed", "kept"), "_k", "_h", "_text", "_gone")
     rows = docs.select("*", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_k"), F.xxhash64("text").alias("_h"), F.coalesce("text", F.lit("")).alias("_text"))
     seq = rows.select(F.col("_k").alias("k"), F.col("_h").alias("h"), F.col("_text").alias("text")).mapInArrow(_scan(min_words), "d1 long, d2 long, k long, h long, i int, w array<int>")
     place = F.struct("k", "h", "i")
@@ -125,4 +125,4 @@ def without_repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFr
     gone = later.groupBy("k", "h").agg(F.collect_set(F.array("i", "w")).alias("_gone")).withColumnsRenamed({"k": "_k", "h": "_h"})
     keep = docs.columns
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "n_lines long, removed array<int>, kept string"])
-    return rows.join(gone, ["_k", "_h"], "left").select(*docs.columns, "_text", "_gone").mapInArrow(_cut(keep), schema)
+    return rows.join(gone, ["_k", "_h"], "left").select(*docs.columns, "_text", "_gone").mapInArrow(_cut(keep), schema).withColumnsRenamed(back)

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilmark.llm.common import written
+from veilmark.llm.common import shielded, written
 
 WEIGHTS = (5, 2, 1)
 BUDGET, EPOCHS = 1.5, 2
@@ -51,9 +51,8 @@ def tagged(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float =
     """``rows``: doc_id, source, size (long). Adds source_size, weight, target, before (words of the
     source's shuffled order ahead of this document) and copies (numbers of those that are taken)."""
     rows = rows.withColumn("u", F.shiftrightunsigned(F.xxhash64(F.lit("mix"), "doc_id", "size"), 1))
-    pieces = F.floor(F.count("*") / PIECE) + 1
-    rows = rows.crossJoin(F.broadcast(rows.agg(pieces.alias("pieces"))))  # one row
-    rows = rows.withColumn("piece", F.floor(F.col("u") / F.lit(2.0**63) * F.col("pieces"))).drop("pieces")
+    pieces = rows.count() // PIECE + 1
+    rows = rows.withColumn("piece", F.floor(F.col("u") / F.lit(2.0**63) * pieces))
     sums = rows.groupBy("source", "piece").agg(F.sum("size").alias("sum"))
     goal = targets(sums.groupBy("source").agg(F.sum("sum").alias("source_size")), weights, budget, epochs)
     ahead = sums.withColumn("ahead", F.coalesce(F.sum("sum").over(Window.partitionBy("source").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -79,7 +78,7 @@ def mixture(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: rows of ``docs``, repeats included, sorted by virtual finish time over ranges of
     it, with two columns more: epoch (0 and up) and virtual_finish. Columns of ``docs`` that bear these
     names are replaced."""
-    docs = docs.drop("epoch", "virtual_finish")
+    docs, back = shielded(docs.drop("epoch", "virtual_finish"), "_size", "_d", "_s", "_z", "_n", "_m", "weight", "source_size", "before", "copies")
     sized = docs.select("*", n_words("text").alias("_size"))
     rows = written(sized.select("doc_id", "source", F.col("_size").alias("size")), "sizes")
     tags = tagged(rows, **how).where(F.size("copies") > 0).select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z"), "weight", "source_size", "before", "copies")
@@ -93,5 +92,5 @@ def mixture(docs: DataFrame, **how) -> DataFrame:
     on = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_z")) & (F.col("_m") == F.col("_n"))
     out = sized.join(tags, on).withColumn("epoch", F.explode("copies"))
     finish = (F.col("source_size") * F.col("epoch") + F.col("before") + F.col("_size")) / F.col("weight")
-    return out.withColumn("virtual_finish", finish).select(*docs.columns, "epoch", "virtual_finish").orderBy("virtual_finish", "doc_id")
+    return out.withColumn("virtual_finish", finish).select(*docs.columns, "epoch", "virtual_finish").orderBy("virtual_finish", "doc_id").withColumnsRenamed(back)
 

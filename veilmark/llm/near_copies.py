@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilmark.llm.common import written
+from veilmark.llm.common import shielded, written
 from veilmark.llm.components import components, local_components
 
 WORDS = 5
@@ -157,6 +157,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
 def without_near_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` but for near copies: of each group the row of the least (doc_id, text digest)
     stays, once. Null doc_ids come last. Columns stay as they are."""
+    docs, back = shielded(docs, "_h", "_d", "_t")
     own = written(near_groups(docs.select("doc_id", "text")), "groups")
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
     first = own.groupBy("group").agg(F.min(rank).alias("first"))
@@ -165,4 +166,4 @@ def without_near_copies(docs: DataFrame) -> DataFrame:
     kept = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_t")), "left_anti")
     if own.groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count():
         kept = kept.dropDuplicates(["doc_id", "_h"])  # rows repeated in full
-    return kept.drop("_h")
+    return kept.drop("_h").withColumnsRenamed(back)

@@ -19,6 +19,7 @@ from veilmark.llm.suffix_dedup import without_repeats
 from veilmark.llm.toxicity import toxicity
 from veilmark.llm.unit_dedup import ORACLE as UNIT_ORACLE
 from veilmark.llm.unit_dedup import without_repeated_units
+from veilmark.llm.url_reputation import ORACLE as URL_ORACLE
 from veilmark.llm.url_reputation import judged
 
 
@@ -95,4 +96,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE: dict[str, str] = {
     "op3_unit_hashing": UNIT_ORACLE,
     "op6_decontamination": DECONTAM_ORACLE,
+    "op8_host_reputation": URL_ORACLE,
 }

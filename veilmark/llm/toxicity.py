@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilmark.llm.common import shielded
+
 TERM = re.compile(rb"[a-z0-9\x80-\xff]+")
 BITS = 20
 #: Bytes of the beginnings that are terms.
@@ -146,14 +148,14 @@ def trained(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Mod
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs`` with one column more: score (0 to 1). Null or empty text: the bias's score.
     A column of ``docs`` of that name is replaced. Nothing but the text enters the score."""
-    docs = docs.drop("score")
+    docs, back = shielded(docs.drop("score"), "_text")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([model.score(t) for t in batch["_text"].to_pylist()], pa.float64())], [*batch.schema.names[:-1], "score"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "score double"])
-    return docs.select("*", F.col("text").alias("_text")).mapInArrow(run, schema)
+    return docs.select("*", F.col("text").alias("_text")).mapInArrow(run, schema).withColumnsRenamed(back)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:

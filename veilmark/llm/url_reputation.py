@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilmark.llm.common import lower_ascii
+from veilmark.llm.common import lower_ascii, written
 
 #: verdict, host and path.
 RULES = (
@@ -58,11 +58,12 @@ def reputation(pages: DataFrame, labels: DataFrame, least: float = LEAST, z: flo
     hosts = pages.groupBy("host").agg(F.count("*").alias("pages")).join(labelled, "host", "left").select("host", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("g", F.lit(0)).alias("g"))
     at = F.split("host", "\\.")
     hosts = hosts.withColumn("suffix", F.element_at(at, -1)).withColumn("domain", F.when(F.size(at) > 1, F.concat_ws(".", F.element_at(at, -2), F.element_at(at, -1))).otherwise(F.col("host")))
+    hosts = written(hosts, "hosts")
     prior = hosts.agg(F.sum("g").alias("g"), F.sum("n").alias("n")).select(F.lit("").alias("up"), F.try_divide(F.col("g") + 1, F.col("n") + 2).alias("mean"))
     for level, up in zip(LEVELS, ("", *LEVELS)):
         above = F.col(up) if up else F.lit("")
         own = hosts.groupBy(F.col(level).alias("key"), above.alias("above")).agg(F.sum("g").alias("g"), F.sum("n").alias("n"))
-        own = own.join(prior, own.above == prior.up).drop("up")
+        own = written(own.join(prior, own.above == prior.up).drop("up"), level)  # read for the fit and for the posterior
         some = F.when(F.col("n") > 0, F.lit(1))
         m = F.col("mean") * (1 - F.col("mean"))
         fit = own.agg(
@@ -72,8 +73,8 @@ def reputation(pages: DataFrame, labels: DataFrame, least: float = LEAST, z: flo
         )
         rho = F.try_divide(F.col("s") - F.col("c"), F.col("d"))
         strength = F.coalesce(F.greatest(F.lit(STRENGTH[0]), F.least(F.lit(STRENGTH[1]), F.when(rho > 0, F.try_divide(1 - rho, rho)).otherwise(STRENGTH[1]))), F.lit(STRENGTH[1]))
-        own = own.crossJoin(F.broadcast(fit.select(strength.alias("k"))))  # one row
-        a, n = F.col("k") * F.col("mean") + F.col("g"), F.col("k") + F.col("n")
+        k = F.lit(fit.select(strength).first()[0])  # one number
+        a, n = k * F.col("mean") + F.col("g"), k + F.col("n")
         post = own.select("key", "n", (a / n).alias("mean"), n.alias("weight"))
         prior = post.select(F.col("key").alias("up"), "mean")
     bound = F.col("mean") + z * F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("weight") + 1))
@@ -92,3 +93,39 @@ def judged(pages: DataFrame, labels: DataFrame, rules=RULES) -> DataFrame:
     known = reputation(rows.select("page_id", "host"), labels).select("host", "blocked")
     out = rows.join(known, "host", "left").withColumn("r", rule_of(rules))
     return out.select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.coalesce("r.verdict", F.when(F.col("blocked"), "block").otherwise("allow")).alias("verdict"))
+
+
+def _level_sql(level: str, above: str, prior: str) -> str:
+    """One level of the fit in DuckDB's SQL: post_<level> has key, n, mean and weight."""
+    low, high = STRENGTH
+    return f"""
+own_{level} AS (
+  SELECT h.*, p.mean FROM (SELECT {level} AS key, {above} AS above, sum(g) AS g, sum(n) AS n FROM hosts GROUP BY 1, 2) h JOIN {prior} p ON h.above = p.key
+), fit_{level} AS (
+  SELECT sum(n * pow(g / n - mean, 2)) FILTER (WHERE n > 0) AS s, sum(mean * (1 - mean)) FILTER (WHERE n > 0) AS c, sum(mean * (1 - mean) * (n - 1)) FILTER (WHERE n > 0) AS d FROM own_{level}
+), prior_{level} AS (
+  SELECT coalesce(greatest({low}, least({high}, CASE WHEN (s - c) / nullif(d, 0) > 0 THEN (1 - (s - c) / d) / ((s - c) / d) ELSE {high} END)), {high}) AS k FROM fit_{level}
+), post_{level} AS (
+  SELECT key, n, (k * mean + g) / (k + n) AS mean, k + n AS weight FROM own_{level}, prior_{level}
+)"""
+
+
+#: The same in DuckDB's SQL.
+ORACLE = f"""
+WITH r AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), u AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r
+), known AS (
+  SELECT host, count(*) AS n, sum(good) AS g FROM u JOIN (SELECT doc_id, CAST(quality = 1 AND toxic = 0 AS INTEGER) AS good FROM labels) ON page_id = doc_id WHERE good IS NOT NULL GROUP BY host
+), hosts AS (
+  SELECT host, coalesce(n, 0) AS n, coalesce(g, 0) AS g, parts[-1] AS suffix, CASE WHEN len(parts) > 1 THEN parts[-2] || '.' || parts[-1] ELSE host END AS domain
+  FROM (SELECT host, string_split(host, '.') AS parts FROM (SELECT DISTINCT host FROM u)) LEFT JOIN known USING (host)
+), top AS (
+  SELECT '' AS key, (sum(g) + 1) / (sum(n) + 2) AS mean FROM hosts
+), {_level_sql("suffix", "''", "top")}, {_level_sql("domain", "suffix", "post_suffix")}, {_level_sql("host", "domain", "post_domain")}
+SELECT page_id, host, path, rule, CASE WHEN rule IS NULL THEN CASE WHEN mean + {Z} * sqrt(mean * (1 - mean) / (weight + 1)) < {LEAST} THEN 'block' ELSE 'allow' END WHEN rule IN ({", ".join(f"'{h + p}'" for v, h, p in RULES if v == "block")}) THEN 'block' ELSE 'allow' END AS verdict
+FROM (
+  SELECT *, CASE {" ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{h + p}'" for _, h, p in sorted(RULES, key=lambda r: -len(r[1] + r[2])))} END AS rule FROM u
+) JOIN (SELECT key, mean, weight FROM post_host) ON host = key
+"""
