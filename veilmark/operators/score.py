@@ -128,14 +128,14 @@ def pair_by_source(originals: DataFrame, synthetic: DataFrame) -> DataFrame:
     return synthetic.select("trace_id", "source_id", F.col("text").alias("transformed")).join(o, "source_id")
 
 
-def with_place(df: DataFrame, *by: str) -> DataFrame:
-    """Places 1, 2, ... over the whole order, without one task that holds all: counts of ranges, then ranks
-    within each."""
-    rows = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
-    counts = rows.groupBy("_p").agg(F.count("*").alias("_c"))
-    before = counts.withColumn("_before", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_before")
-    rank = F.row_number().over(Window.partitionBy("_p").orderBy(*by))
-    return rows.join(F.broadcast(before), "_p").withColumn("place", F.col("_before") + rank).drop("_p", "_i", "_before")  # a row for each partition
+def with_place(df: DataFrame, key: str, width: int = 20_000) -> DataFrame:
+    """Places 1, 2, ... in order of a whole-number key, without one task that holds all rows: rows before
+    each stretch of ``width`` key values, then ranks within it."""
+    rows = df.withColumn("_s", F.floor(F.col(key) / width))
+    counts = rows.groupBy("_s").agg(F.count("*").alias("_c"))
+    before = counts.select("_s", F.coalesce(F.sum("_c").over(Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
+    rank = F.row_number().over(Window.partitionBy("_s").orderBy(key))
+    return rows.withColumn("_r", rank).join(before, "_s").withColumn("place", F.col("_b") + F.col("_r")).drop("_s", "_r", "_b")
 
 
 def pair_by_place(left: DataFrame, right: DataFrame) -> DataFrame:
