@@ -186,3 +186,25 @@ def test_stream(spark, tmp_path):
         q = redacted(spark.readStream.schema(schema).json(src)).writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
         q.awaitTermination(120)
     assert [r.detail for r in spark.read.parquet(out).orderBy("step").collect()] == ["[EMAIL_1]", "[EMAIL_2] and [EMAIL_1]", "[EMAIL_2] [EMAIL_3]"]
+
+
+def test_settings_and_findings():
+    from veilmark.operators.models import kept_findings
+    from veilmark.sources.config import load_ground, load_rules
+
+    assert load_ground('{"identities":["X deal"],"party_aliases":[["Acme","ACM"]]}') == ["X deal", "Acme", "ACM"]
+    for bad in ('{"identities":[],"party_aliases":[]}', '{"identities":[" - "],"party_aliases":[]}', '{"identities":["a"]}', '{"identities":["a"],"party_aliases":[[]]}', "[]"):
+        with pytest.raises(J.Rejected):
+            load_ground(bad)
+    rules = load_rules('{"date_orders":[{"left":"A","right":"B"}],"numeric_ranges":[{"key":"P","lower":1,"upper":null}],"ratio_ranges":[{"numerator":"F","denominator":"P","lower":0,"upper":1}],"compatible":[{"left":"L","right":"C","pairs":[["a","b"]]}]}')
+    assert loop.world_error({"A": "2026-01-01", "B": "2026-01-02", "P": 5, "F": 1, "L": "a", "C": "b"}, set("ABPFLC"), rules) is None
+    assert loop.world_error({"A": "2026-01-01", "B": "2026-01-02", "P": 5, "F": 1, "L": "a", "C": "c"}, set("ABPFLC"), rules) == "W9"
+    for bad in ('{"other":[]}', '{"numeric_ranges":[{"key":"P","lower":true,"upper":1}]}'):
+        with pytest.raises(J.Rejected):
+            load_rules(bad)
+    found = [Inference("a", ["x", None, 3]), Inference("a", "{{A}}"), Inference("a", "v", 1.0, ("in text", "not there"))]
+    kept = kept_findings(found, "all in text", lambda s: s.startswith("{{"))
+    assert [(i.value, i.spans) for i in kept] == [("x; 3", ()), ("v", ("in text",))]
+    with pytest.raises(J.Rejected):
+        J.flat_value([[1]])
+    assert J.flat_value({"signing": 2022, "no": None}) == "signing: 2022"

@@ -125,10 +125,12 @@ def source_records(segments: DataFrame, workflow: str | None = None, fresh: Colu
     j = F.col("payload_json")
     event = F.struct(
         "event_id", "sequence", "role", "event_type", F.lit(None).cast("string").alias("timestamp"), F.lit("not recorded for synthetic trace").alias("timestamp_kind"),
-        F.get_json_object(j, "$.text").alias("content"), "tool_call_id", "tool_name", F.get_json_object(j, "$.arguments").alias("arguments"), F.get_json_object(j, "$.result").alias("result"),
+        F.get_json_object(j, "$.text").alias("content"), F.lit(None).cast("double").alias("model_latency_ms"), F.lit(None).cast("string").alias("model_token_usage"), "tool_call_id", "tool_name",
+        F.get_json_object(j, "$.arguments").alias("arguments"), F.get_json_object(j, "$.result").alias("result"), F.lit(None).cast("double").alias("elapsed_ms"), F.lit(None).cast("string").alias("observed_tool_run_at"),
     )
     provenance = F.struct(
-        F.lit("synthetic agent trace").alias("dataset_kind"), F.lit("synthetic").alias("conversation_mode"), F.lit("not executed; tool records are synthetic").alias("tool_execution_mode"),
+        F.lit("synthetic agent trace").alias("dataset_kind"), F.lit("synthesis from an abstracted trace").alias("author_attribution"), F.lit("synthetic").alias("conversation_mode"),
+        F.lit("not executed; tool records are synthetic").alias("tool_execution_mode"), F.lit(True).alias("language_model_api_called_at_runtime"), F.lit("no times are recorded").alias("timestamp_policy"),
         F.lit(True).alias("fictional_internal_dialogue"), F.lit(False).alias("vendor_internal_log"),
     )
     out = e.groupBy("case_id", "trace_id").agg(F.array_sort(F.collect_list(F.struct("sequence", event.alias("e")))).alias("es"))
