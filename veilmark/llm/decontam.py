@@ -52,15 +52,12 @@ def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
     return at.select("item", "m", F.slice("w", F.col("o") + 1, F.col("m")).alias("tokens")).distinct()
 
 
-def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
-    """The rows of ``docs`` with three columns more: n_words, n_hit (words inside any occurrence of a
-    window) and items (ids, as sorted strings, of items with occurring windows).
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select("*", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_k"), F.xxhash64("text").alias("_h"))
 
-    Null text: no words, no hit. Null doc_id: as any other. Rows equal in doc_id and text get equal
-    results. No items, or only such without words: no hits. Empty table: no rows. Columns of ``docs``
-    that bear the new names are replaced."""
-    docs, back = shielded(docs.drop("n_words", "n_hit", "items"), "_k", "_h")
-    keyed = docs.select("*", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_k"), F.xxhash64("text").alias("_h"))
+
+def _hits(keyed: DataFrame, items: DataFrame, window: int, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """For each document its n_words, and for those with hits n_hit and items; both by (_k, _h)."""
     wins = written(item_windows(items, window).groupBy("tokens", "m").agg(F.array_sort(F.collect_set("item")).alias("ids")).withColumn("win", F.xxhash64("tokens")), "windows")
     shapes = sorted(min(r[0], shingle) for r in wins.select("m").distinct().collect())  # as many as there are lengths up to the window's
     shapes = sorted(set(shapes)) or [shingle]
@@ -115,10 +112,33 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingl
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("ids")))).alias("items"),
     )
     counted = seen.where("p < 0").select("_k", "_h", F.col("n_words").cast("long").alias("n_words")).distinct()
-    facts = written(counted.join(hits, ["_k", "_h"], "left").select("_k", "_h", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items")), "hits")
+    return counted, hits
+
+
+def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
+    """The rows of ``docs`` with three columns more: n_words, n_hit (words inside any occurrence of a
+    window) and items (ids, as sorted strings, of items with occurring windows).
+
+    Null text: no words, no hit. Null doc_id: as any other. Rows equal in doc_id and text get equal
+    results. No items, or only such without words: no hits. Empty table: no rows. Columns of ``docs``
+    that bear the new names are replaced."""
+    docs, back = shielded(docs.drop("n_words", "n_hit", "items"), "_k", "_h")
+    keyed = _keyed(docs)
+    counted, hits = _hits(keyed, items, window, shingle)
+    none = F.array().cast("array<string>")
+    facts = written(counted.join(hits, ["_k", "_h"], "left").select("_k", "_h", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", none).alias("items")), "hits")
     return keyed.join(facts, ["_k", "_h"]).select(*docs.columns, "n_words", "n_hit", "items").withColumnsRenamed(back)
 
 
+def decontaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
+    """The rows of ``docs`` without those that hold any window of an item. Only keys of contaminated rows
+    meet the texts; Spark broadcasts them if their size allows, and else joins by shuffle."""
+    docs, back = shielded(docs, "_k", "_h")
+    keyed = _keyed(docs)
+    gone = written(_hits(keyed, items, window, shingle)[1].select("_k", "_h"), "contaminated")
+    return keyed.join(gone, ["_k", "_h"], "left_anti").drop("_k", "_h").withColumnsRenamed(back)
+
+
 #: The same in DuckDB's SQL, for the columns of the query.
 ORACLE = f"""
 WITH d AS (
