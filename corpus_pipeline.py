@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilmark.llm.common import table, written
-from veilmark.llm.decontam import contaminated
+from veilmark.llm.decontam import decontaminated
 from veilmark.llm.line_runs import without_repeated_runs
 from veilmark.llm.mixing import mixture
 from veilmark.llm.near_copies import without_near_copies
@@ -41,7 +41,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with benchmark text in them go."""
-    return contaminated(docs.select(COLUMNS), table(spark, sf_dir, "benchmark")).where("n_hit = 0").select(COLUMNS)
+    return decontaminated(docs.select(COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
