@@ -160,7 +160,8 @@ def without_near_copies(docs: DataFrame) -> DataFrame:
     docs, back = shielded(docs, "_h", "_d", "_t")
     own = written(near_groups(docs.select("doc_id", "text")), "groups")
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
-    first = own.groupBy("group").agg(F.min(rank).alias("first"))
+    # Written, so that the join gets exchanges of its own, which Spark can split where a group is large.
+    first = written(own.groupBy("group").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "first")
     gone = written(own.join(first, "group").where(rank != F.col("first")).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t")).distinct(), "gone")
     keyed = docs.withColumn("_h", F.xxhash64("text"))
     kept = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_t")), "left_anti")

@@ -39,24 +39,28 @@ def units(text: str, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, int
         start = stop + 1
 
 
+_FOUND = pa.schema([("d1", pa.int64()), ("d2", pa.int64()), ("k", pa.int64()), ("at", pa.int64()), ("more", pa.list_(pa.int64()))])
+
+
 def _scan(min_words: int):
-    names = ["d1", "d2", "k", "at"]
+    """Each distinct unit of a document: where it is first, and where else."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names)
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _FOUND)], schema=_FOUND)
 
-        cols: list[list[int]] = [[], [], [], []]
+        cols: list[list] = [[] for _ in _FOUND]
         for batch in it:
             for k, text in zip(batch["k"].to_pylist(), batch["text"].to_pylist()):
+                own: dict[tuple[int, int], list[int]] = {}
                 for a, b, start, stop in units(text, min_words):
-                    cols[0].append(a)
-                    cols[1].append(b)
-                    cols[2].append(k)
-                    cols[3].append(start << 32 | (stop - start))
+                    own.setdefault((a, b), []).append(start << 32 | (stop - start))
+                for (a, b), at in own.items():
+                    for c, v in zip(cols, (a, b, k, at[0], at[1:])):
+                        c.append(v)
                 if len(cols[0]) > 100_000:
                     yield out()
-                    cols = [[], [], [], []]
+                    cols = [[] for _ in _FOUND]
         if cols[0]:
             yield out()
 
@@ -95,19 +99,15 @@ def _cut(min_words: int):
 def without_repeated_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Per document: doc_id, n_units (that count), removed spans (start, stop) and the kept text.
 
-    Null text: as empty. Null doc_id: before all others. Rows with one doc_id are one document: what
-    they hold at the same place is one occurrence. Empty table: no rows. Extra columns are ignored.
-    A digest shared by any number of units is one row once counted, and its units are spread by
-    Spark's splitting of skewed joins."""
+    Null text: as empty. Null doc_id: before all others. Rows with one doc_id do not take units from each
+    other. Empty table: no rows. Extra columns are ignored. A digest shared by any number of documents is
+    one row once counted; its units meet it in a join that Spark can split."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("k"), F.coalesce("text", F.lit("")).alias("text"))
-    found = rows.select("k", "text").mapInArrow(_scan(min_words), "d1 long, d2 long, k long, at long")
-    # `at` holds the start above the length, so (k, at) orders by (doc_id, start).
-    repeated = found.groupBy("d1", "d2").agg(F.min("k").alias("k1"), F.count("*").alias("n")).where("n > 1").select("d1", "d2", "k1")
-    repeated = written(repeated, "repeated")
-    again = found.join(repeated, ["d1", "d2"])
-    # Within the earliest document the first place stays; ranked only there, so groups stay small.
-    first = again.where("k = k1").groupBy("d1", "d2").agg(F.min("at").alias("at1"))
-    later = written(again.join(first, ["d1", "d2"]).where("k > k1 or at > at1").select("k", F.struct("at", "d1").alias("g")), "later")
+    found = rows.select("k", "text").mapInArrow(_scan(min_words), "d1 long, d2 long, k long, at long, more array<long>")
+    repeated = written(found.groupBy("d1", "d2").agg(F.min("k").alias("k1"), F.count("*").alias("n")).where("n > 1").drop("n"), "repeated")
+    # The document of the least id keeps the first of its places, any other none.
+    later = found.join(repeated, ["d1", "d2"], "left").select("k", "d1", F.when(F.col("k") > F.col("k1"), F.concat(F.array("at"), "more")).otherwise(F.col("more")).alias("at"))
+    later = written(later.where(F.size("at") > 0).select("k", F.explode("at").alias("at"), "d1").select("k", F.struct("at", "d1").alias("g")), "later")
     gone = later.groupBy("k").agg(F.collect_set("g").alias("gone"))
     return rows.join(gone, "k", "left").select("doc_id", "text", "gone").mapInArrow(_cut(min_words), "doc_id long, n_units long, removed array<struct<start:long,stop:long>>, kept string")
 
