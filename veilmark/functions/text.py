@@ -201,12 +201,12 @@ def ascii_words(text: Column) -> Column:
 
 
 def mentions_exact(words: Column, alias: Column) -> Column:
-    """Is the alias a run of whole words, however it is spaced? Both normalised by ``ascii_words``."""
-    w, a = F.split(words, " "), F.split(alias, " ")
-    compact = F.replace(alias, F.lit(" "), F.lit(""))
+    """Is the alias a run of whole words, however it is spaced? Both are arrays of normalised words, as columns
+    of their own: an expression in their place would run again for each word."""
+    compact = F.array_join(alias, "")
 
     def runs(width: Column) -> Column:
-        at = F.when(F.size(w) >= width, F.sequence(F.lit(1), F.size(w) - width + 1)).otherwise(F.array().cast("array<int>"))
-        return F.exists(at, lambda i: F.array_join(F.slice(w, i, width), "") == compact)
+        at = F.when(F.size(words) >= width, F.sequence(F.lit(1), F.size(words) - width + 1)).otherwise(F.array().cast("array<int>"))
+        return F.exists(at, lambda i: F.array_join(F.slice(words, i, width), "") == compact)
 
-    return (words != "") & (alias != "") & F.exists(F.sequence(F.greatest(F.size(a) - 1, F.lit(1)), F.size(a) + 1), runs)
+    return (compact != "") & F.exists(F.sequence(F.greatest(F.size(alias) - 1, F.lit(1)), F.size(alias) + 1), runs)

@@ -424,12 +424,21 @@ SELECT doc_id, item_id FROM d JOIN b ON a <> '' AND contains(w, ' ' || a || ' ')
 def mentions_exact(spark, d):
     """Which documents hold the first four words of which item. Blocked by the first two of them, so that
     nothing is compared that cannot match."""
-    docs = table(spark, d, "documents").select("doc_id", T.ascii_words(F.col("text")).alias("w"))
+    docs = table(spark, d, "documents").select("doc_id", T.ascii_words(F.col("text")).alias("w")).select("doc_id", F.split("w", " ").alias("w"))
     items = table(spark, d, "benchmark").select("item_id", F.slice(F.split(T.ascii_words(F.col("text")), " "), 1, 4).alias("a")).where("a[0] <> ''")
-    w = F.split("w", " ")
+    w = F.col("w")
     pairs = F.when(F.size(w) > 1, F.transform(F.slice(w, 1, F.size(w) - 1), lambda x, i: F.concat_ws(" ", x, F.get(w, i + 1)))).otherwise(w)
-    may = docs.select("doc_id", F.explode(F.array_distinct(F.concat(pairs, F.slice(w, -1, 1)))).alias("k")).join(items.withColumn("k", F.array_join(F.slice("a", 1, 2), " ")), "k").select("doc_id", "item_id", F.array_join("a", " ").alias("a"))
-    return docs.join(may, "doc_id").where(F.contains(F.concat(F.lit(" "), "w", F.lit(" ")), F.concat(F.lit(" "), "a", F.lit(" ")))).select("doc_id", "item_id")
+    may = docs.select("doc_id", F.explode(F.array_distinct(F.concat(pairs, F.slice(w, -1, 1)))).alias("k")).join(items.withColumn("k", F.array_join(F.slice("a", 1, 2), " ")), "k").select("doc_id", "item_id", "a").distinct()
+    both = docs.join(may, "doc_id").select("doc_id", "item_id", F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")).alias("t"), F.concat(F.lit(" "), F.array_join("a", " "), F.lit(" ")).alias("a"))
+    return both.where(F.contains("t", F.col("a"))).select("doc_id", "item_id")
+
+
+@query("SELECT * FROM (VALUES (0, true), (1, true), (2, false), (3, false)) AS t(id, named)")
+def mentions_spaced(spark, d):
+    """Word runs that equal an alias however it is spaced."""
+    rows = [(0, "the Jet Blue offer", "JetBlue"), (1, "Micro-soft, then", "Microsoft"), (2, "jetblues", "JetBlue"), (3, "", "x")]
+    own = spark.createDataFrame(rows, "id int, t string, a string").select("id", F.split(T.ascii_words(F.col("t")), " ").alias("t"), F.split(T.ascii_words(F.col("a")), " ").alias("a"))
+    return own.select("id", T.mentions_exact(F.col("t"), F.col("a")).alias("named"))
 
 
 _MENTIONS = [
