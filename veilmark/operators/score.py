@@ -28,6 +28,9 @@ CATEGORY_LABEL = {
     "secret": "real secret or credential value",
 }
 
+# Fixed value: what the name of a company looks like.
+COMPANY = r"[A-Z][A-Za-z]+(?:\s+[A-Z][A-Za-z]+){0,3},?\s+(?:Inc|Ltd|LLC|L\.P|Corp|Corporation|Holdings|Systems|Robotics|Instruments|Analytics|Technologies|Group|Industries|Solutions)\b\.?"
+
 
 def trace_text(steps: DataFrame) -> DataFrame:
     """trace_id and the steps as lines ``action: detail``, in order, without marks."""
@@ -152,8 +155,7 @@ def round_robin(records: DataFrame, group: str, pos: str) -> DataFrame:
 
 def top_names(texts: DataFrame, most: int = 2) -> DataFrame:
     """``texts``: trace_id, text. The most frequent company-shaped names; ties by first appearance."""
-    pattern = r"[A-Z][A-Za-z]+(?:\s+[A-Z][A-Za-z]+){0,3},?\s+(?:Inc|Ltd|LLC|L\.P|Corp|Corporation|Holdings|Systems|Robotics|Instruments|Analytics|Technologies|Group|Industries|Solutions)\b\.?"
-    found = texts.select("trace_id", F.posexplode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))).select("trace_id", "pos", F.trim(F.regexp_replace("col", "[.,]+$", "")).alias("name"))
+    found = texts.select("trace_id", F.posexplode(F.regexp_extract_all("text", F.lit(COMPANY), F.lit(0)))).select("trace_id", "pos", F.trim(F.regexp_replace("col", "[.,]+$", "")).alias("name"))
     counted = found.groupBy("trace_id", "name").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
     rank = F.row_number().over(Window.partitionBy("trace_id").orderBy(F.desc("n"), "first"))
     return counted.withColumn("rank", rank.cast("long")).where(F.col("rank") <= most).select("trace_id", "rank", "name", "n")
