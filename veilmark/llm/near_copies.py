@@ -123,13 +123,19 @@ def _linked(bits: int):
                     i = np.flatnonzero(own == s)
                     made.append((((value[i][:, None] ^ m) << np.uint64(32)) | i.astype(np.uint64)[:, None]).ravel())
             # A value above, the number of its fingerprint below: one sort brings equals together.
-            all_ = np.sort(np.concatenate(made)) if made else np.empty(0, np.uint64)
-            i, top = (all_ & np.uint64(0xFFFFFFFF)).astype(np.int64), all_ >> np.uint64(32)
+            all_ = np.concatenate(made) if made else np.empty(0, np.uint64)
+            made.clear()
+            all_.sort()
+            top = all_ >> np.uint64(32)
             same = np.flatnonzero(top[1:] == top[:-1]) + 1
-            new = np.concatenate([[True], top[1:] != top[:-1]]) if len(top) else np.empty(0, bool)
-            head = np.maximum.accumulate(np.where(new, np.arange(len(top)), 0)) if len(top) else np.empty(0, np.int64)
+            met = np.union1d(same, same - 1)  # only what meets something is looked at further
+            i, top = (all_[met] & np.uint64(0xFFFFFFFF)).astype(np.int64), top[met]
+            del all_
+            new = np.append(True, top[1:] != top[:-1])[: len(top)]
+            head = np.maximum.accumulate(np.where(new, np.arange(len(top)), 0)) if len(top) else met
             # Each member with the one before it and with the first: links of a dense group, not its pairs.
-            u, v = np.concatenate([i[same], i[same]]), np.concatenate([i[same - 1], i[head[same]]])
+            at = np.flatnonzero(~new)
+            u, v = np.concatenate([i[at], i[at]]), np.concatenate([i[at - 1], i[head[at]]])
             pairs = np.unique(np.minimum(u, v) * len(fp) + np.maximum(u, v))
             u, v = pairs // max(1, len(fp)), pairs % max(1, len(fp))
             sure = np.bitwise_count(fp[u] ^ fp[v]).sum(axis=1) <= LIMIT
