@@ -5,7 +5,7 @@ import pytest
 
 from tests.llm.helpers import awkward, crowded, docs, empty, prose
 from veilmark.llm import line_runs, suffix_dedup, unit_dedup
-from veilmark.llm.queries import op2_suffix_dedup, op3_unit_hashing
+from veilmark.llm.queries import op3_unit_hashing
 
 NONE = -(2**63)
 
