@@ -141,8 +141,9 @@ def trained(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Mod
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id")).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(some), "doc_id").select("doc_id", "toxic", "text")  # max_rows small rows at most
-    rows = own.mapInArrow(_features, "doc_id long, toxic int, data binary").toPandas().sort_values(["doc_id", "data"])
-    return fit([np.frombuffer(d, np.int32) for d in rows["data"]], rows["toxic"].to_numpy() == 1)
+    rows = own.mapInArrow(_features, "doc_id long, toxic int, data binary").toArrow()
+    rows = sorted(zip(rows["doc_id"].to_pylist(), rows["data"].to_pylist(), rows["toxic"].to_pylist()))
+    return fit([np.frombuffer(d, np.int32) for _, d, _ in rows], np.array([t == 1 for _, _, t in rows], bool))
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
