@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -85,3 +86,18 @@ def test_near_copies(spark):
     assert set(own.columns) == set(crowded(docs(spark)).columns)
     ids = [r.doc_id for r in own.collect()]
     assert ids.count(1) == 2 and 5 not in ids and 7 in ids
+
+
+def test_strangers_between_near_copies():
+    """A pair that neither stands next to one another in its value nor with the value's first one."""
+    rng = np.random.default_rng(3)
+    fps = rng.integers(0, 1 << 63, (41, 3), np.uint64)
+    fps[:, 0] = fps[0, 0]  # two fingerprints in common: all meet, and are strangers
+    for a, b, flip in ((5, 30, 0b1011), (11, 24, 0b1011), (24, 40, 0b110000)):
+        fps[b] = fps[a]
+        fps[b, 2] ^= np.uint64(flip)
+    bits, bucket = 0, 0
+    batch = pa.RecordBatch.from_pydict({"bucket": pa.array([bucket], pa.int32()), "data": pa.array([fps.tobytes()], pa.binary())})
+    ids = near_copies._ids(fps).tolist()
+    links = {(ids.index(u), ids.index(v)) for b in near_copies._linked(bits)([batch]) for u, v in zip(b["u"].to_pylist(), b["v"].to_pylist())}
+    assert links == {(30, 5), (24, 11), (40, 11)}
