@@ -101,3 +101,24 @@ def test_strangers_between_near_copies():
     ids = near_copies._ids(fps).tolist()
     links = {(ids.index(u), ids.index(v)) for b in near_copies._linked(bits)([batch]) for u, v in zip(b["u"].to_pylist(), b["v"].to_pylist())}
     assert links == {(30, 5), (24, 11), (40, 11)}
+
+
+@pytest.mark.parametrize("block", [near_copies.BLOCK, 30_000])
+def test_only_what_is_alike_is_linked(spark, block, monkeypatch):
+    """Pairs at exactly 0.8 and more, pairs well below, and many that share one passage."""
+    monkeypatch.setattr(near_copies, "BLOCK", block)
+    rng = np.random.default_rng(5)
+
+    def fresh(n):
+        return [f"w{x}" for x in rng.integers(0, 1 << 40, n)]
+
+    passage, rows = fresh(124), []
+    for i in range(40):
+        t = fresh(184)  # 180 shingles, of which the first 160 stay: 160 of 200
+        rows += [(10 * i, t), (10 * i + 1, t[:164] + fresh(20))]
+        rows += [(10 * i + 4, u := fresh(184)), (10 * i + 5, u[:150] + fresh(34))]  # 146 of 214
+        rows += [(10 * i + 7, passage + fresh(60))]
+    own = docs(spark, [(k, " ".join(t), None, None, None) for k, t in rows])
+    group = {r.doc_id: r.group for r in near_copies.near_groups(own).collect()}
+    assert sum(group[10 * i] == group[10 * i + 1] for i in range(40)) >= 37
+    assert len(set(group.values())) == 200 - sum(group[10 * i] == group[10 * i + 1] for i in range(40))
