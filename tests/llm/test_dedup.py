@@ -112,3 +112,11 @@ def test_run_edges(spark):
     by = {(r.doc_id, r.text): r.kept for r in got.collect()}
     b = prose(2, 80)
     assert by[-3, b + "\n" + a] == a and by[1, a] == by[5, a] == by[7, b] == "" and by[None, b] == b
+
+
+def test_short_repeated_lines_go(spark):
+    """A line of nine words, and a run of two short lines, in many documents; a lone short line stays."""
+    hot, pair, short = "Click here to read more about this very story", "Read on\nor come back", "the end"
+    rows = [(i, f"{prose(100 + i, 12)}\n{hot}\n{prose(200 + i, 12)}\n{pair}\n{prose(300 + i, 12)}\n{short}", None, None, None) for i in range(20)]
+    got = {r.doc_id: r.removed for r in line_runs.without_repeated_runs(docs(spark, rows)).collect()}
+    assert got == {0: []} | {i: [1, 3, 4] for i in range(1, 20)}

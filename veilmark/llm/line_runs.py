@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from veilmark.llm.common import discard, shielded, written
 
-MIN_WORDS = 25
+MIN_WORDS = 5
 NO_ID = -(2**63)
 
 
