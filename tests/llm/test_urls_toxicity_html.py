@@ -104,3 +104,10 @@ def test_extracted(spark):
     got = html_main.extracted(spark.createDataFrame(rows, PAGE)).collect()
     assert sorted(r.n_chars for r in got) == [0, 0, len(P) - 1, len(P) - 1]
     assert html_main.extracted(spark.createDataFrame([], PAGE)).count() == 0
+
+
+def test_captions_and_fallbacks_of_the_article_stay():
+    page = f"""<html><body><form><fieldset><label>Your name</label></fieldset></form><article><p>{P}</p><figure><img src=a.png><figcaption>A heron, at dawn</figcaption></figure>
+    <p>{P}</p><object data=a.svg>Rain by month</object><fieldset><legend>Note</legend><p>{P}</p></fieldset><p><label>Term</label> explained</p><video src=b>A film of it</video></article></body></html>"""
+    want = f"{P}A heron, at dawn {P}Rain by month Note {P}Term explained A film of it"
+    assert html_main.main_text(page) == " ".join(want.split())

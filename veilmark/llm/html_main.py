@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg xmp noembed noframes".split())
-NEVER = frozenset("head nav footer aside form button select dialog menu label fieldset object canvas video audio figcaption".split()) | RAW
-BLOCK = frozenset("html body article section main header footer nav aside div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure address details summary hr form center".split())
+NEVER = frozenset("head nav footer aside form button select dialog menu".split()) | RAW
+BLOCK = frozenset("html body article section main header footer nav aside div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption fieldset address details summary hr form center".split())
 #: Open elements that a start tag ends, up to the nearest that bounds the search.
 ENDS = {
     "li": ("li", "ul ol"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"),
