@@ -59,6 +59,30 @@ def test_machine_learns_pairs_and_holds_out(spark, monkeypatch):
     assert {r.doc_id: r.score for r in toxicity.toxicity(docs(spark, rows), other).collect()} == {k: r.score for k, r in got.items()}
 
 
+def test_machine_learns_what_no_single_term_shows(spark):
+    """One of two words is a sign, both or none are not: no term's share differs between the classes, and a
+    model that adds terms up cannot tell them apart."""
+    rng = np.random.default_rng(4)
+    rows, labels = [], []
+    for i in range(3000):
+        a, b = rng.random(2) < 0.5
+        rows.append((i, " ".join([prose(9000 + i, 20)] + ["grubling"] * bool(a) + ["northfolk"] * bool(b)), "en", "s", 0))
+        labels.append((i, 1, int(a != b)))
+    own = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = toxicity.trained(docs(spark, rows), own)
+    held = [(t, y) for (i, t, *_), (_, _, y) in zip(rows, labels) if zlib.crc32(str(i).encode()) % 5 == 0]
+    right = lambda m: sum((m.score(t) >= 0.5) == y for t, y in held) / len(held)
+    assert right(model) > 0.95
+    model.factors = np.zeros_like(model.factors)
+    assert right(model) < 0.6
+
+
+def test_rows_of_one_id_do_not_crowd_the_sample(spark):
+    own = spark.createDataFrame([(1, 1, 1), (2, 1, 0)], "doc_id long, quality int, toxic int")
+    hot = docs(spark, [(1, prose(i, 9), "en", "s", 0) for i in range(50)] + [(2, "calm", "en", "s", 0)])
+    assert toxicity.toxicity(hot, own).count() == 51
+
+
 def test_toxicity_edges(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     odd = spark.createDataFrame([(None, 1, 1), (1, 1, None), (1, 1, 1), (1, 1, 0), (999, 0, 1)], "doc_id long, quality int, toxic int")
@@ -67,7 +91,7 @@ def test_toxicity_edges(spark):
         got = toxicity.toxicity(crowded(docs(spark)), labels).collect()
         assert len(got) == len(awkward()) and all(r.score is not None for r in got)
     assert all(r.predicted == 0 for r in toxicity.toxicity(docs(spark), none).collect())
-    model = toxicity.fit([np.array([1, 2], np.int32)], np.array([True]))
+    model = toxicity.fit([np.array([1, 2], np.int32)], [2], np.array([True]))
     kept = toxicity.scored(crowded(docs(spark)), model)
     assert kept.count() == len(awkward()) and kept.schema["score"].dataType.simpleString() == "double"
 
