@@ -2,6 +2,7 @@ import hashlib
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.helpers import awkward, crowded, docs, empty, prose
 from veilmark.llm import decontam, mixing
@@ -58,27 +59,54 @@ def fill(sizes, budget=1.5, epochs=2):
     return target
 
 
+def cut(rows, budget=1.5):
+    """The order of all copies by finish time, cut by hand: words taken for each row of (before, size, source_size, weight, tie)."""
+    order = sorted((((r.source_size * e + r.before + r.size) / r.weight, t, r.size, i) for i, r in enumerate(rows) for e, t in enumerate(r.ties)))
+    out, at = [0] * len(rows), 0
+    for _, _, size, i in order:
+        if at + size / 2 <= budget * sum(r.size for r in rows):
+            out[i] += size
+        at += size
+    return out
+
+
+@pytest.mark.parametrize("each", [mixing.RANGE, 60])
 @pytest.mark.parametrize("rows", [awkward(), [(i, prose(i, 1 + i % 50), None, f"s{i % 7 if i % 3 else 0}", 0) for i in range(400)]])
-def test_mix(spark, rows, monkeypatch):
-    monkeypatch.setattr(mixing, "PIECE", 30)
+def test_mix(spark, rows, each, monkeypatch):
+    monkeypatch.setattr(mixing, "RANGE", each)
     got = mixing.mixed(docs(spark, rows)).collect()
     assert len(got) == len(rows)
     assert sorted((str(r.doc_id), r.size) for r in got) == sorted((str(d), len((t or "").encode().split())) for d, t, *_ in rows)
-    sizes, taken, target = {}, {}, {}
-    source = mixing.tagged(docs(spark, rows).select("doc_id", "source", mixing.n_words("text").alias("size"))).collect()
+    tags = mixing.tagged(mixing.sized(docs(spark, rows)))
+    source = tags.withColumn("ties", F.array(*(mixing.tie(F.lit(e)) for e in range(2)))).collect()
+    sizes, taken, target, places = {}, {}, {}, {}
     for r in source:
         sizes[r.source] = sizes.get(r.source, 0) + r.size
         taken[r.source] = taken.get(r.source, 0) + r.size * len(r.copies)
         target[r.source] = r.target
+        places.setdefault(r.source, []).append((r.before, r.before + r.size))
         assert len(r.copies) <= 2
     want = fill(sizes)
     for s in sizes:
         assert target[s] == pytest.approx(want[s])
-        assert abs(taken[s] - want[s]) <= max(r.size for r in source if r.source == s) / 2 + 1e-6
+        spans = sorted(p for p in places[s] if p[0] < p[1])  # the queue: documents after one another, from 0
+        assert [a for a, _ in spans] == [0, *(z for _, z in spans[:-1])][: len(spans)]
+    assert [r.size * len(r.copies) for r in source] == cut(source)
+    assert abs(sum(taken.values()) - sum(want.values())) <= max(r.size for r in source) / 2
     assert sum(r.taken for r in got) == sum(taken.values())
     assert sorted(map(str, mixing.mixed(docs(spark, rows).repartition(5)).collect())) == sorted(map(str, got))
 
 
+def test_sources_end_near_their_targets(spark):
+    rows = [(i, prose(i, 5 + i % 40), None, f"s{i % 11}" if i % 3 else "hot", 0) for i in range(3000)]
+    own = mixing.tagged(mixing.sized(docs(spark, rows))).collect()
+    for s in {r.source for r in own}:
+        mine = [r for r in own if r.source == s]
+        assert abs(sum(r.size * len(r.copies) for r in mine) - mine[0].target) <= max(r.size for r in own)
+    plan = mixing.mixture(docs(spark, rows))._jdf.queryExecution().toString()
+    assert "rangepartitioning(virtual_finish" in plan
+
+
 def test_mixture(spark):
     assert mixing.mixed(empty(spark)).count() == 0 and mixing.mixture(empty(spark)).count() == 0
     out = mixing.mixture(crowded(docs(spark)))

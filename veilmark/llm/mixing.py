@@ -2,13 +2,13 @@
 
 Each source is a queue: its documents in shuffled order, then the same again, up to ``epochs`` times.
 A copy's virtual finish time is its source's words up to and with it, divided by the source's
-weight. Copies of all sources are sorted by that time, over ranges, and cut at the total budget. A
-queue that has run empty stops, and the others share what it leaves by weight; so a source gets the
-lesser of its weight's share and ``epochs`` times its size. At the cut, a copy stays if at least half
-of it lies within its source's share; so what is taken misses the target by half a document at most.
+weight. Copies of all sources are sorted by that time into ranges, and the order is cut where the
+running sum of words reaches the total budget. A queue that has run empty stops, and the others share
+what it leaves by weight; so a source gets about the lesser of its weight's share and ``epochs`` times
+its size, and ends within a document of it.
 
-Running sums go over pieces of the shuffled order: a sum for each piece, sums of pieces before it,
-then sums within it. No task gets a whole source.
+Running sums go over ranges of the order: a sum for each range, sums of the ranges before it, then
+sums within it. No task gets a whole source, or all sources.
 """
 
 from __future__ import annotations
@@ -16,12 +16,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilmark.llm.common import shielded, written
+from veilmark.llm.common import parts_for, shielded, written
 
 WEIGHTS = (5, 2, 1)
 BUDGET, EPOCHS = 1.5, 2
-#: Documents in a piece of the shuffled order, over all sources.
-PIECE = 20_000
+#: Rows in a range, about.
+RANGE = 100_000
 
 
 def n_words(text: Column | str) -> Column:
@@ -30,38 +30,81 @@ def n_words(text: Column | str) -> Column:
     return F.coalesce((F.size(parts) - F.when(F.get(parts, F.lit(0)) == "", 1).otherwise(0) - F.when((F.size(parts) > 1) & (F.element_at(parts, -1) == ""), 1).otherwise(0)).cast("long"), F.lit(0).cast("long"))
 
 
+def in_ranges(df: DataFrame, order: list[Column], name: str, **sums: Column) -> tuple[DataFrame, DataFrame, Column]:
+    """``df`` sorted into ranges and written with the number of each row's range (_range); for each range the
+    sums over all ranges before it; and the window of the rows before a row within its range."""
+    n = parts_for(df.sparkSession, df.count(), RANGE)
+    own = written(df.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()).sortWithinPartitions(*order), name)
+    ahead = own.groupBy("_range").agg(*(F.sum(v).alias(k) for k, v in sums.items()))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    ahead = ahead.select("_range", *(F.coalesce(F.sum(k).over(before), F.lit(0)).alias(k) for k in sums))
+    return own, ahead, Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+
+
+def running(df: DataFrame, order: list[Column], name: str, **sums: Column) -> DataFrame:
+    """``df`` with sums over all rows that come before each in this order."""
+    own, ahead, within = in_ranges(df, order, name, **sums)
+    inner = own.select("*", *(F.coalesce(F.sum(v).over(within), F.lit(0)).alias(f"_in_{k}") for k, v in sums.items()))
+    out = inner.join(F.broadcast(ahead), "_range")  # a row for each range of RANGE rows
+    return out.select(*df.columns, *((F.col(k) + F.col(f"_in_{k}")).alias(k) for k in sums))
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, epochs: int = EPOCHS) -> DataFrame:
-    """``sizes``: source, source_size; a row for each source, few enough for one task. Adds weight, and
-    target: by weight, none above ``epochs`` times its size, ``budget`` times all sizes in all."""
-    ranked = sizes.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % len(weights) + 1))
-    full = (F.col("source_size") * epochs).alias("full")
-    by = Window.orderBy("ratio", F.col("source").asc_nulls_last())
-    level = (
-        ranked.select("source", "source_size", "weight", full)
-        .withColumn("ratio", F.col("full") / F.col("weight"))
-        .withColumn("all", F.sum("source_size").over(Window.partitionBy()) * F.lit(budget))
-        # If the sources before this one are full, and this and the rest are not: their level.
-        .withColumn("level", F.try_divide(F.col("all") - F.coalesce(F.sum("full").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), F.sum("weight").over(by.rowsBetween(0, Window.unboundedFollowing))))
-        .withColumn("level", F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "level"))).over(Window.partitionBy())["level"])
-    )
-    return level.select("source", "source_size", "weight", F.coalesce(F.least(F.col("full").cast("double"), F.col("weight") * F.col("level")), F.col("full").cast("double")).alias("target"))
+    """``sizes``: source, source_size; a row for each source. Adds weight, and target: by weight, none above
+    ``epochs`` times its size, ``budget`` times all sizes in all."""
+    place = running(sizes, [F.col("source").asc_nulls_last()], "sources", _place=F.lit(1))
+    full = F.col("source_size") * epochs
+    ranked = place.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("_place") % len(weights) + 1).cast("int"))).drop("_place").withColumn("ratio", full / F.col("weight"))
+    by = written(running(ranked, [F.col("ratio"), F.col("source").asc_nulls_last()], "ratios", _full=full, _weight=F.col("weight")), "levels")
+    total = by.agg(F.sum("source_size"), F.sum("weight")).first()
+    # If the sources before this one are full, and this and the rest are not: their level.
+    level = F.try_divide(F.lit(float(total[0] or 0) * budget) - F.col("_full"), F.lit(total[1]) - F.col("_weight"))
+    least = by.where(level <= F.col("ratio")).agg(F.min(F.struct("ratio", level.alias("level")))["level"]).first()[0]
+    target = full.cast("double") if least is None else F.least(full.cast("double"), F.col("weight") * F.lit(least))
+    return by.select("source", "source_size", "weight", target.alias("target"))
+
+
+def finish_time(epoch: Column) -> Column:
+    """The virtual finish time of a copy."""
+    return (F.col("source_size") * epoch + F.col("before") + F.col("size")) / F.col("weight")
+
+
+def tie(epoch: Column) -> Column:
+    """What orders copies of one finish time."""
+    return F.xxhash64(F.lit("tie"), "doc_id", "source", "digest", epoch)
 
 
 def tagged(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, epochs: int = EPOCHS) -> DataFrame:
-    """``rows``: doc_id, source, size (long). Adds source_size, weight, target, before (words of the
-    source's shuffled order ahead of this document) and copies (numbers of those that are taken)."""
-    rows = rows.withColumn("u", F.shiftrightunsigned(F.xxhash64(F.lit("mix"), "doc_id", "size"), 1))
-    pieces = rows.count() // PIECE + 1
-    rows = rows.withColumn("piece", F.floor(F.col("u") / F.lit(2.0**63) * pieces))
-    sums = rows.groupBy("source", "piece").agg(F.sum("size").alias("sum"))
-    goal = targets(sums.groupBy("source").agg(F.sum("sum").alias("source_size")), weights, budget, epochs)
-    ahead = sums.withColumn("ahead", F.coalesce(F.sum("sum").over(Window.partitionBy("source").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    ahead = ahead.join(goal.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).select("s", F.col("piece").alias("p"), "ahead", "source_size", "weight", "target")
-    within = Window.partitionBy("source", "piece").orderBy("u", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    out = rows.withColumn("in", F.coalesce(F.sum("size").over(within), F.lit(0))).join(ahead, F.col("source").eqNullSafe(F.col("s")) & (F.col("piece") == F.col("p")))
-    before = F.col("ahead") + F.col("in")
-    copies = F.filter(F.array(*(F.lit(e) for e in range(epochs))), lambda e: F.col("source_size") * e + before + F.col("size") / 2 <= F.col("target"))
-    return out.select("doc_id", "source", "size", "source_size", "weight", "target", before.alias("before"), copies.alias("copies"))
+    """``rows``: doc_id, source, digest (of the text), size (long). Adds source_size, weight, target, before (words
+    of the source's shuffled order ahead of this document) and copies (numbers of those that are taken)."""
+    source = F.col("source").asc_nulls_last()
+    shuffled = rows.withColumn("u", F.xxhash64(F.lit("mix"), "doc_id", "digest"))
+    queues = written(running(shuffled, [source, F.col("u"), F.col("doc_id"), F.col("digest"), F.col("size")], "queues", ahead=F.col("size")), "queued")
+    sizes = queues.groupBy("source").agg(F.sum("size").alias("source_size"), F.min("ahead").alias("start"))
+    goal = targets(sizes.select("source", "source_size"), weights, budget, epochs)
+    known = goal.join(sizes.select(F.col("source").alias("s"), "start"), F.col("source").eqNullSafe(F.col("s"))).select("s", "source_size", "weight", "target", "start")
+    own = queues.join(written(known, "goals"), F.col("source").eqNullSafe(F.col("s"))).withColumn("before", F.col("ahead") - F.col("start")).drop("s", "u", "ahead", "start")
+    own = written(own, "tagged")
+    total = own.agg(F.sum("size")).first()[0] or 0
+    numbers = F.array(*(F.lit(e) for e in range(epochs)))
+    copies = own.withColumn("e", F.explode(numbers)).select(finish_time(F.col("e")).alias("finish"), tie(F.col("e")).alias("tie"), "size")
+    order, ahead, within = in_ranges(copies, [F.col("finish"), F.col("tie"), F.col("size")], "order", ahead=F.col("size"))
+    # The budget ends in one range: running sums are needed there alone.
+    last = ahead.where(F.col("ahead") <= budget * total).agg(F.max(F.struct("ahead", "_range"))).first()[0]
+    cut = None
+    if last:
+        inner = order.where(F.col("_range") == last["_range"]).withColumn("in", F.coalesce(F.sum("size").over(within), F.lit(0)))
+        fits = inner.where(F.lit(last["ahead"]) + F.col("in") + F.col("size") / 2 <= budget * total).select("finish", "tie")
+        cut = order.where(F.col("_range") < last["_range"]).select("finish", "tie").unionByName(fits).agg(F.max(F.struct("finish", "tie"))).first()[0]
+    if cut is None:
+        taken = F.array().cast("array<int>")
+    else:
+        taken = F.filter(numbers, lambda e: (finish_time(e) < cut["finish"]) | ((finish_time(e) == cut["finish"]) & (tie(e) <= cut["tie"])))
+    return own.withColumn("copies", taken)
+
+
+def sized(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "source", F.xxhash64("text").alias("digest"), n_words("text").alias("size"))
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
@@ -69,8 +112,7 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
 
     Null text: size 0. Null source: a source, after all others. Null doc_id: as any other. Repeated
     rows: each counts. Empty table: no rows. All sizes 0: targets 0. Extra columns are ignored."""
-    rows = docs.select("doc_id", "source", n_words("text").alias("size"))
-    out = tagged(written(rows, "sizes"), **how)
+    out = tagged(sized(docs), **how)
     return out.select("doc_id", "size", "source_size", "target", (F.size("copies") * F.col("size")).cast("long").alias("taken"))
 
 
@@ -78,19 +120,16 @@ def mixture(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: rows of ``docs``, repeats included, sorted by virtual finish time over ranges of
     it, with two columns more: epoch (0 and up) and virtual_finish. Columns of ``docs`` that bear these
     names are replaced."""
-    docs, back = shielded(docs.drop("epoch", "virtual_finish"), "_size", "_d", "_s", "_z", "_n", "_m", "weight", "source_size", "before", "copies")
-    sized = docs.select("*", n_words("text").alias("_size"))
-    rows = written(sized.select("doc_id", "source", F.col("_size").alias("size")), "sizes")
-    tags = tagged(rows, **how).where(F.size("copies") > 0).select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z"), "weight", "source_size", "before", "copies")
+    docs, back = shielded(docs.drop("epoch", "virtual_finish"), "_d", "_s", "_h", "_n", "_m", "weight", "source_size", "before", "size", "copies", "digest")
+    keyed = docs.withColumn("digest", F.xxhash64("text"))
+    tags = tagged(sized(docs), **how).where(F.size("copies") > 0).select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("digest").alias("_h"), "size", "weight", "source_size", "before", "copies")
     # Rows alike in all three are told apart by number only where there are several of them.
-    tags = written(tags.withColumn("_n", F.row_number().over(Window.partitionBy("_d", "_s", "_z").orderBy("before"))), "tags")
+    tags = written(tags.withColumn("_n", F.row_number().over(Window.partitionBy("_d", "_s", "_h").orderBy("before"))), "tags")
     many = tags.where("_n > 1").limit(1).count() > 0
     if many:
-        sized = sized.withColumn("_m", F.row_number().over(Window.partitionBy("doc_id", "source", "_size").orderBy("text")))
+        keyed = keyed.withColumn("_m", F.row_number().over(Window.partitionBy("doc_id", "source", "digest").orderBy("text")))
     else:
-        sized = sized.withColumn("_m", F.lit(1))
-    on = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_z")) & (F.col("_m") == F.col("_n"))
-    out = sized.join(tags, on).withColumn("epoch", F.explode("copies"))
-    finish = (F.col("source_size") * F.col("epoch") + F.col("before") + F.col("_size")) / F.col("weight")
-    return out.withColumn("virtual_finish", finish).select(*docs.columns, "epoch", "virtual_finish").orderBy("virtual_finish", "doc_id").withColumnsRenamed(back)
-
+        keyed = keyed.withColumn("_m", F.lit(1))
+    on = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("digest") == F.col("_h")) & (F.col("_m") == F.col("_n"))
+    out = keyed.join(tags, on).withColumn("epoch", F.explode("copies"))
+    return out.withColumn("virtual_finish", finish_time(F.col("epoch"))).select(*docs.columns, "epoch", "virtual_finish").orderBy("virtual_finish", "doc_id").withColumnsRenamed(back)
