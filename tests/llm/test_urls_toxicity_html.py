@@ -1,6 +1,9 @@
+import time
 import zlib
+from html.parser import HTMLParser
 
 import numpy as np
+import pytest
 
 from tests.llm.helpers import awkward, crowded, docs, empty, prose
 from veilmark.llm import html_main, toxicity, url_reputation
@@ -135,3 +138,60 @@ def test_captions_and_fallbacks_of_the_article_stay():
     <p>{P}</p><object data=a.svg>Rain by month</object><fieldset><legend>Note</legend><p>{P}</p></fieldset><p><label>Term</label> explained</p><video src=b>A film of it</video></article></body></html>"""
     want = f"{P}A heron, at dawn {P}Rain by month Note {P}Term explained A film of it"
     assert html_main.main_text(page) == " ".join(want.split())
+
+
+def test_names_weigh_and_do_not_decide():
+    flat = lambda *x: " ".join(" ".join(x).split())
+    body = f"<p>{P}</p><p>{P}</p>"
+    assert html_main.main_text(f'<body><div class="layout has-sidebar">{body}</div></body>') == flat(P, P)
+    assert html_main.main_text(f'<body><div class="sidebar-layout"><div class="comments">{body}</div><div class="sidebar">Links</div></div></body>') == flat(P, P)
+    assert html_main.main_text(f"<body><header>HEADERTEXT and more of it, quite long indeed</header>{body}</body>") == flat(P, P)
+    assert html_main.main_text(f"<article><header><h1>Title</h1></header>{body}</article>") == flat("Title", P, P)
+    assert html_main.main_text(f'<article>{body}<p class="share-price">It closed at nine.</p><div class="share-buttons">Tell a friend</div></article>') == flat(P, P, "It closed at nine.")
+    assert html_main.main_text(f'<article>{body}<div id="adSlot3">Buy</div><div class="comment-body"><p>{P}</p></div><div role="alert">Note</div><p hidden>x</p></article>') == flat(P, P)
+    assert html_main.main_text(f"<main><h1>Head</h1><div><p>{P}</p>{body}</div><ul><li>one</ul></main>") == flat("Head", P, P, P, "one")
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<div>" * 20_000 + P + "</b>" * 20_000, "<b>" * 20_000 + "<hr>" * 20_000 + P, "<td><table>" + "<div>" * 5000 + "<tr>" * 20_000 + P, "<p>" + P + "<a '" * 45_000, "<i>" * 9000 + f"<p>{P}" * 900, "<script>" * 9000 + P, "<!--" * 9000, "&" * 90_000 + P],
+    ids=["stray ends", "rules", "rows", "quotes", "paragraphs", "scripts", "comments", "references"],
+)
+def test_time_is_linear(page):
+    start = time.process_time()
+    html_main.main_text(page)
+    assert time.process_time() - start < 2
+
+
+def test_extracted_keeps_columns_apart(spark):
+    pages = spark.createDataFrame([(1, "u", f"<article><p>{P}", "mine", 7)], PAGE + ", text string, n_chars long")
+    assert html_main.extracted(pages).first()["text"] == P.strip()
+
+
+class Plain(HTMLParser):
+    """The text between article and footer as the library's parser sees it: the plain way to the same result."""
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.out, self.on = [], False
+        self.feed(page)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        self.on = (self.on or tag == "article") and tag != "footer"
+        self.out += [" "] * (self.on and tag in ("p", "br", "h1", "h2", "li", "div"))
+
+    def handle_endtag(self, tag):
+        self.on = self.on and tag != "article"
+        self.out += [" "] * (self.on and tag in ("p", "h1", "h2", "li", "div"))
+
+    def handle_data(self, data):
+        self.out += [data] * self.on
+
+
+def test_table_pages_match_a_plain_parser(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    want = {r.page_id: " ".join("".join(Plain(r.html or "").out).split()) for r in pages.collect()}
+    got = {r.page_id: r["text"] for r in html_main.extracted(pages).collect()}
+    same = [k for k in want if want[k] == got[k]]
+    assert len(want) > 50 and [k for k in want if k not in same] == []
