@@ -2,11 +2,14 @@ import time
 import zlib
 from html.parser import HTMLParser
 
+import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.helpers import awkward, crowded, docs, empty, prose
 from veilmark.llm import html_main, toxicity, url_reputation
+from veilmark.llm.queries import op8_host_reputation
 
 PAGE = "page_id long, url string, html string"
 
@@ -36,6 +39,39 @@ def test_reputation(spark):
     assert judged(spark, ["http://a.org/"], [(0, None, None)])[0].verdict == "allow"
 
 
+def test_levels(spark):
+    sites = {"a.b.co.uk": ("co.uk", "b.co.uk"), "co.uk": ("co.uk", "co.uk"), "x.y.example.org": ("org", "example.org"), "me.github.io": ("github.io", "me.github.io"), "192.168.0.1": ("192.168.0.1",) * 2, "localhost": ("localhost",) * 2, "": ("", ""), "com.example": ("example", "com.example")}
+    got = spark.createDataFrame([(s,) for s in sites], "host string").withColumns(url_reputation.levels("host")).collect()
+    assert {r.host: (r.suffix, r.domain) for r in got} == sites
+    odd = {"bad.co.uk:8080": "bad.co.uk", "me:pw@host.org:1": "host.org", "host.org..": "host.org", "[::1]:80": "[::1]", "a@b@c": "c", "": ""}
+    got = spark.createDataFrame([(s,) for s in odd], "host string").withColumn("site", url_reputation.site_of(F.col("host"))).collect()
+    assert {r.host: r.site for r in got} == odd
+
+
+def test_a_bad_neighbour_under_a_public_suffix_does_not_count(spark):
+    urls = [f"http://a{i % 6}.bad.co.uk/{i}" for i in range(60)] + [f"http://good{i % 9}.org/{i}" for i in range(300)] + ["http://clean.co.uk/", "http://fresh.ac.uk/", "http://new.bad.co.uk:8080/"]
+    got = judged(spark, urls, [(i, int(i >= 60), 0) for i in range(360)])
+    assert [got[i].verdict for i in (360, 361, 362)] == ["allow", "allow", "block"] and got[0].verdict == "block" and got[100].verdict == "allow"
+
+
+def test_reputation_matches_sql(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    hosts = ["a.x.co.uk", "b.x.co.uk", "x.co.uk:80", "y.co.uk", "u@p.org", "p.org.", "q.p.org", "10.0.0.1", "", "me.github.io", "you.github.io", "m.de"]
+    rows = [(i, None if i % 41 == 0 else f"http://{hosts[i % len(hosts)]}/p{i}" + "?q" * (i % 3), "", "extra") for i in range(300)]
+    labels = [(i, int(rng.random() < (0.1 if i % len(hosts) < 4 else 0.8)), int(rng.random() < 0.1)) for i in range(0, 300, 2)] + [(5, None, 1)]
+    crowded_pages = spark.createDataFrame(rows, PAGE + ", host string").withColumns({c: F.lit("own") for c in ("site", "path", "rule", "r", "verdict", "suffix", "n", "key")})
+    crowded_pages.coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").coalesce(1).write.parquet(str(tmp_path / "labels.parquet"))
+    con = duckdb.connect()
+    for t in ("pages", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    cur = con.execute(url_reputation.ORACLE)
+    cols = [c[0] for c in cur.description]
+    want = sorted(map(str, cur.fetchall()))
+    assert sorted(str(tuple(r[c] for c in cols)) for r in op8_host_reputation(spark, str(tmp_path)).collect()) == want
+    assert len({w.split("'")[-2] for w in want}) == 2
+
+
 def labelled():
     """An insult alone is no sign, nor a group alone; both together are."""
     rng = np.random.default_rng(3)
@@ -194,4 +230,4 @@ def test_table_pages_match_a_plain_parser(spark):
     want = {r.page_id: " ".join("".join(Plain(r.html or "").out).split()) for r in pages.collect()}
     got = {r.page_id: r["text"] for r in html_main.extracted(pages).collect()}
     same = [k for k in want if want[k] == got[k]]
-    assert len(want) > 50 and [k for k in want if k not in same] == []
+    assert len(want) >= 50 and [k for k in want if k not in same] == []
