@@ -71,10 +71,32 @@ def test_unit_edges(spark):
     assert len(got) == len(awkward())
     line = "one two three four five six"
     rows = [(2, line + "\n" + line, None, None, None), (1, "x y\n  One  TWO three four\tfive six ", None, None, None)]
-    got = {r.doc_id: r for r in unit_dedup.without_repeated_units(docs(spark, rows)).collect()}
+    got = {r.doc_id: r for r in unit_dedup.without_repeated_units(docs(spark, rows), 5).collect()}
     assert got[1].removed == [] and got[2].kept == "" and [(s.start, s.stop) for s in got[2].removed] == [(0, 27), (28, 55)]
 
 
+def test_units_of_one_id_stay_in_their_rows(spark):
+    """The second row of an id keeps its only copy, though another row of that id loses one at the same place."""
+    line = " ".join(f"w{i}" for i in range(13))
+    rows = [(5, line + "\n" + line, None, None, None), (5, "a" * len(line) + "\n" + line, None, None, None), (6, line, None, None, None)]
+    got = {(r.doc_id, r.n_units): r.kept for r in unit_dedup.without_repeated_units(docs(spark, rows)).collect()}
+    assert got == {(5, 2): line + "\n", (5, 1): "a" * len(line) + "\n" + line, (6, 1): ""}
+
+
+def test_very_long_text_and_hot_id(spark):
+    """A text of nearly two million characters, and an id that holds nearly all rows, in each of the three operators."""
+    long = "\n".join(prose(i, 30) for i in range(9000))
+    rows = [(1, long, None, None, None), (2, long[:1_000_000], None, None, None)] + [(3, prose(20_000 + i, 20), None, None, None) for i in range(200)]
+    own = docs(spark, rows)
+    assert len(long) > 1_900_000
+    got = unit_dedup.without_repeated_units(own).collect()
+    assert len(got) == 202 and sum(len(r.kept) for r in got if r.doc_id == 2) < 300 and all(not r.removed for r in got if r.doc_id == 3)
+    got = line_runs.without_repeated_runs(own).collect()
+    assert len(got) == 202 and sum(len(r.kept) for r in got if r.doc_id == 2) < 300 and all(not r.removed for r in got if r.doc_id == 3)
+    got = suffix_dedup.without_repeats(own).collect()
+    assert len(got) == 202 and [len(r.kept) for r in got if r.doc_id == 2] == [0] and all(not r.removed for r in got if r.doc_id == 3)
+
+
 def runs_brute(rows, least):
     seqs = sorted(rows)
     own = [[b for _, b in line_runs.lines(t)] for _, _, t in seqs]

@@ -6,7 +6,8 @@ start) stays and the others go, each with the separator that follows it. Spans a
 points in the original text.
 
 Sentences are units of their own because a passage may be set into the middle of a line. Units of
-fewer than ``min_words`` words stay: short ones repeat by chance.
+fewer than ``min_words`` words stay: short sentences repeat in texts that copy nothing. Short lines that
+repeat are ``line_runs``'s to delete.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from veilmark.llm.common import written
 
 #: One code point for one, so that offsets stay those of the text.
 SENTENCE = re.compile(r"([.!?]) ")
-MIN_WORDS = 5
+MIN_WORDS = 12
 NO_ID = -(2**63)
 
 
@@ -39,7 +40,7 @@ def units(text: str, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, int
         start = stop + 1
 
 
-_FOUND = pa.schema([("d1", pa.int64()), ("d2", pa.int64()), ("k", pa.int64()), ("at", pa.int64()), ("more", pa.list_(pa.int64()))])
+_FOUND = pa.schema([("d1", pa.int64()), ("d2", pa.int64()), ("k", pa.int64()), ("h", pa.int64()), ("at", pa.int64()), ("more", pa.list_(pa.int64()))])
 
 
 def _scan(min_words: int):
@@ -51,12 +52,12 @@ def _scan(min_words: int):
 
         cols: list[list] = [[] for _ in _FOUND]
         for batch in it:
-            for k, text in zip(batch["k"].to_pylist(), batch["text"].to_pylist()):
+            for k, h, text in zip(*(batch[c].to_pylist() for c in ("k", "h", "text"))):
                 own: dict[tuple[int, int], list[int]] = {}
                 for a, b, start, stop in units(text, min_words):
                     own.setdefault((a, b), []).append(start << 32 | (stop - start))
                 for (a, b), at in own.items():
-                    for c, v in zip(cols, (a, b, k, at[0], at[1:])):
+                    for c, v in zip(cols, (a, b, k, h, at[0], at[1:])):
                         c.append(v)
                 if len(cols[0]) > 100_000:
                     yield out()
@@ -100,16 +101,16 @@ def without_repeated_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataF
     """Per document: doc_id, n_units (that count), removed spans (start, stop) and the kept text.
 
     Null text: as empty. Null doc_id: before all others. Rows with one doc_id do not take units from each
-    other. Empty table: no rows. Extra columns are ignored. A digest shared by any number of documents is
+    other; rows equal in doc_id and text get equal results. Empty table: no rows. Extra columns are ignored. A digest shared by any number of documents is
     one row once counted; its units meet it in a join that Spark can split."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("k"), F.coalesce("text", F.lit("")).alias("text"))
-    found = rows.select("k", "text").mapInArrow(_scan(min_words), "d1 long, d2 long, k long, at long, more array<long>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("k"), F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    found = rows.select("k", "h", "text").mapInArrow(_scan(min_words), "d1 long, d2 long, k long, h long, at long, more array<long>")
     repeated = written(found.groupBy("d1", "d2").agg(F.min("k").alias("k1"), F.count("*").alias("n")).where("n > 1").drop("n"), "repeated")
     # The document of the least id keeps the first of its places, any other none.
-    later = found.join(repeated, ["d1", "d2"], "left").select("k", "d1", F.when(F.col("k") > F.col("k1"), F.concat(F.array("at"), "more")).otherwise(F.col("more")).alias("at"))
-    later = written(later.where(F.size("at") > 0).select("k", F.explode("at").alias("at"), "d1").select("k", F.struct("at", "d1").alias("g")), "later")
-    gone = later.groupBy("k").agg(F.collect_set("g").alias("gone"))
-    return rows.join(gone, "k", "left").select("doc_id", "text", "gone").mapInArrow(_cut(min_words), "doc_id long, n_units long, removed array<struct<start:long,stop:long>>, kept string")
+    later = found.join(repeated, ["d1", "d2"], "left").select("k", "h", "d1", F.when(F.col("k") > F.col("k1"), F.concat(F.array("at"), "more")).otherwise(F.col("more")).alias("at"))
+    later = written(later.where(F.size("at") > 0).select("k", "h", F.explode("at").alias("at"), "d1").select("k", "h", F.struct("at", "d1").alias("g")), "later")
+    gone = later.groupBy("k", "h").agg(F.collect_set("g").alias("gone"))
+    return rows.join(gone, ["k", "h"], "left").select("doc_id", "text", "gone").mapInArrow(_cut(min_words), "doc_id long, n_units long, removed array<struct<start:long,stop:long>>, kept string")
 
 
 #: The same in DuckDB's SQL, for the columns of the query.
