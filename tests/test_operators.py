@@ -1,6 +1,7 @@
 """Properties and cases of single operators."""
 
 import json
+from difflib import SequenceMatcher
 
 import pytest
 from hypothesis import given, settings
@@ -9,10 +10,13 @@ from pyspark.sql import functions as F
 
 from veilmark import engine
 from veilmark.functions import json_values as J
-from veilmark.functions.match import jaro_winkler_of, names
+from veilmark.functions.match import Aliases, jaro_winkler_of, names, normal_form
+from veilmark.functions.trace_rules import Segment, trace_error
 from veilmark.operators import loop, spans, template, validate
-from veilmark.operators.models import Hint, Inference, ModelError, Report, ScriptedInferrer, ScriptedRewriter
+from veilmark.operators.models import Hint, Inference, ModelError, PatternRewriter, Report, RuleGenerator, WordListInferrer
 from veilmark.operators.score import verdicts
+from veilmark.operators.world import WorldRules
+from veilmark.plans import fixtures as X
 from veilmark.plans.queries import CLUE, demo
 from veilmark.sources import traces as R
 from veilmark.streaming.redact import redacted, resolved
@@ -86,9 +90,31 @@ def test_fill_strict(spark):
     assert J.repaired({"a": 1, "b": None}, {"a": 2, "c": 3}) == {"a": 2, "b": None}
 
 
-def test_names_and_similarity():
-    assert names("Microsoft's buyout", "Microsoft") and names("Jet Blue", "JetBlue") and names("Activison", "Activision")
-    assert not names("the spirit of", "Spirit Air") and not names("(a) be", "ADBE")
+def test_names():
+    assert names("the Nordlicht's hull", "Nordlicht") and names("Blue Heron", "BlueHeron") and names("Kestrell", "Kestrel") and names("Harbor-Gates of old", "harborgates")
+    assert not names("hold the harbour", "Harbour Gate") and not names("t i d e", "TIDE") and not names("", "x") and not names("x", " - ")
+    many = Aliases(["Nordlicht", "Blue Heron"])
+    assert many.first("by blueheron or nordlicht") == "blueheron" and many.first("neither") is None and Aliases(["a", "-"]).blank
+
+
+def slowly_named(text, alias):
+    """All stretches of words against the alias, one by one."""
+    words, target = normal_form(text).split(), normal_form(alias).split()
+    letters = "".join(target)
+    for n in {len(target) - 1, len(target), len(target) + 1} - {0}:
+        for run in ("".join(words[i : i + n]) for i in range(len(words) - n + 1)):
+            if letters and (run == letters or n == len(target) and len(letters) >= 5 and SequenceMatcher(None, run, letters, autojunk=False).ratio() >= 0.85):
+                return True
+    return False
+
+
+@given(st.text("abAB é-", max_size=30), st.text("abAB é", max_size=9))
+@settings(max_examples=400, deadline=None)
+def test_names_match_brute_force(text, alias):
+    assert names(text, alias) == slowly_named(text, alias)
+
+
+def test_similarity():
     assert jaro_winkler_of("martha", "marhta") == pytest.approx(0.9611, abs=1e-4) and jaro_winkler_of("", "a") == 0
 
 
@@ -108,19 +134,39 @@ def test_loop_rounds():
 
     assert loop.anonymize("t", ["a"], 2, Always(), Count()) == "t!!" and len(count) == 2
     assert loop.anonymize("t", ["a"], 0, Always(), Count(), (Hint("h"),)) == "t"
-    never = ScriptedInferrer({})
+    never = WordListInferrer({})
     assert loop.anonymize("t", ["a"], 5, never, Count(), (Hint("h"),)) == "t!"
     with pytest.raises(ModelError):
         loop.selected([Inference("a", "v", certainty=2.0)], ["a"])
+    for bad in ("a", [""], {"a": 1}):
+        with pytest.raises(ValueError):
+            loop.anonymize("t", bad, 1, never, Count())
+    assert loop.asked({"b", "a"}) == ("a", "b") and loop.asked(["b", "a", "b"]) == ("b", "a")
+    for bad in ("h", [Hint(5)], [Hint("x", (1,))], ["x"]):
+        with pytest.raises(ValueError):
+            loop.checked_hints(bad)
+
+
+def test_anonymize_texts(spark):
+    rows = spark.createDataFrame([("by Orrin Shipping",), (None,), ("by none",)], "t string")
+    got = loop.anonymize_texts(rows, "t", ["parties"], 2, demo()[1].inferrer, PatternRewriter((('"?Orrin Shipping', "{{OWNER}}", 0),)))
+    assert [r.t for r in got.collect()] == ["by Orrin Shipping", None, "by none"]  # no JSON: nothing to go over
+    quoted = spark.createDataFrame([('"by Orrin Shipping"',)], "t string")
+    assert loop.anonymize_texts(quoted, "t", ["parties"], 2, demo()[1].inferrer, demo()[1].rewriter).first().t == '"by {{OWNER}}"'
+
+
+def segments_of(rows):
+    return [Segment(r[2], r[3], r[4], J.parse(r[5]), r[6], r[7]) for r in rows]
 
 
 def test_synthesis_states():
     rows, how = demo()
-    payloads, ids = [r[3] for r in rows], [r[2] for r in rows]
-    status, _, attempts, done = how.run(payloads, ids, ["Old demo matter"])
+    own = segments_of(rows)
+    status, _, attempts, done = how.run("t", own, ["the Maren Two fixture"])
     assert status == "passed_attack" and [a[1] for a in attempts] == ["reidentified", "passed_attack"] and CLUE not in "".join(done)
+    assert json.loads(done[1]) == {"arguments": {"owner": "Calloway Marine", "rate": 21000}} and json.loads(done[2])["result"]["hire"] == [21000, "a day"]
     how.rounds = 0
-    assert how.run(payloads, ids, ["x"]) == ("failed", "budget_exhausted", [], None)
+    assert how.run("t", own, ["x"]) == ("failed", "budget_exhausted", [], None)
     how.rounds, seen = 2, []
 
     class Spy:
@@ -131,12 +177,70 @@ def test_synthesis_states():
             return Report(completed=False)
 
     how.attacker = Spy()
-    assert how.run(payloads, ids, ["Ember Software"])[1] == "reidentified" and not seen  # a real name left: no attack
-    assert how.run(payloads, ids, ["Old demo matter"])[1] == "invalid_attack"
-    assert all("Old demo matter" not in t for texts in seen for t in texts)
-    how.require_web_search = True
-    how.rewriter = ScriptedRewriter({})
-    assert [a[1] for a in how.run(payloads, ids, ["zz top"])[2]][-1] in ("invalid_attack", "invalid_candidate")
+    assert how.run("t", own, ["Brightwater Freight"])[1] == "reidentified" and not seen  # a real name left: no attack
+    assert how.run("t", own, ["the Maren Two fixture"])[1] == "invalid_attack"
+    assert all("Maren Two fixture" not in t for texts in seen for t in texts)
+    with pytest.raises(ValueError):
+        how.run("t", own[1:3][::-1], ["zz top"])
+    with pytest.raises(ValueError):
+        how.run("t", own, [" - "])
+
+
+@pytest.mark.parametrize("change", ["tool", "check", "matcher", "rules", "model", "world", "placeholder"])
+def test_what_ends_a_round(change):
+    rows, how = demo()
+
+    def no(*_):
+        raise J.Rejected("no")
+
+    class Broken:
+        model_id = "broken"
+
+        def infer(self, text, attributes):
+            raise ModelError("secret")
+
+        def generate(self, keys, rules):
+            return []
+
+    want = ("failed", "invalid_candidate")
+    if change == "tool":
+        how.tool_checks = {"find_fixture": lambda a: a["rate"] == 18500}
+    elif change == "check":
+        how.candidate_check = no
+    elif change == "matcher":
+        how.matcher, want = (lambda report, aliases: False), ("passed_attack", None)
+    elif change == "rules":
+        how.rules = WorldRules(date_orders=(("SIGNING_DATE", "CLOSING_DATE"),))
+    elif change == "model":
+        how.inferrer, want = Broken(), ("failed", "model_error")
+    elif change == "world":
+        how.generator, want = Broken(), ("failed", "model_error")
+    else:
+        how.generator = RuleGenerator(("{{OTHER}}",))
+    status, reason, attempts, done = how.run("t", segments_of(rows), ["the Maren Two fixture"])
+    assert (status, reason) == want and (done is None) == (status == "failed") and "secret" not in str(attempts)
+
+
+def test_trace_error_agrees_with_the_tables(spark):
+    """The rules over plain values and over tables name the same traces, and the same first rule."""
+    rows = X.TRACES.rows
+    found = {r.trace_id: r.rule for r in validate.first_violation(validate.violations(X.TRACES.df(spark))).collect()}
+    for t in dict.fromkeys(r[0] for r in rows):
+        own = [Segment(r[2], r[3], r[4], J.parse(r[5]), r[6], r[7]) for r in sorted((r for r in rows if r[0] == t), key=lambda r: r[1])]
+        assert (trace_error(t, own) is None) == (t not in found), t
+    assert trace_error("t", []) == "V1" == trace_error(" ", own)
+    assert trace_error("good", segments_of(demo()[0]), segments_of(demo()[0])) is None
+    assert trace_error("bad", segments_of(demo()[0]), segments_of(demo()[0])[::-1]) == "V11"
+
+
+def test_publish_goes_on_where_it_ended(spark, tmp_path):
+    rows, how = demo()
+    segments = spark.createDataFrame([(f"t{i}", *r[1:]) for i in range(5) for r in rows], X.SEGMENT)
+    ground = spark.createDataFrame([(f"t{i}", "Brightwater Freight" if i == 1 else "the Maren Two fixture") for i in range(5)], "trace_id string, alias string")
+    order = spark.createDataFrame([(f"t{i}", i + 1) for i in range(5)], "trace_id string, place int")
+    path = str(tmp_path / "syn")
+    assert [(r.id, r.source_id) for r in loop.publish(segments, ground, order, how, 2, path, 1).orderBy("id").collect()] == [("syn-001", "t0"), ("syn-002", "t2")]
+    assert [r.source_id for r in loop.publish(segments, ground, order, how, 9, path).orderBy("id").collect()] == ["t0", "t2", "t3", "t4"]
 
 
 def test_reference_violations(spark):

@@ -11,17 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from veilmark.functions.json_values import Rejected, parse, shape_error
-
-ROLES, KINDS = ("system", "user", "assistant", "tool"), ("message", "tool_call", "tool_result")
-
-# Arguments of the known tools (name, type, required).
-TOOL_ARGUMENTS = {
-    "search_documents": (("case_id", "string", True), ("query", "string", True), ("limit", "integer", False)),
-    "read_section": (("case_id", "string", True), ("chunk_id", "string", True)),
-    "compare_documents": (("case_id", "string", True), ("left_chunk_id", "string", True), ("right_chunk_id", "string", True)),
-    "draft_memo": (("trace_id", "string", True), ("title", "string", True), ("body", "string", True), ("artifact_directory", "string", True)),
-}
-
+from veilmark.functions.trace_rules import KINDS, ROLES, TOOL_ARGUMENTS
 
 @F.pandas_udf(StringType())
 def json_error(text: pd.Series) -> pd.Series:

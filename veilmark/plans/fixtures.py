@@ -57,21 +57,21 @@ TRACES = Fixture(
 )
 
 TEMPLATES = Fixture("templates", "trace_id string, pos int, payload_json string", [
-    ("t1", 1, '{"text":"{{BUYER}} buys {{TARGET}} for {{PRICE}}"}'),
-    ("t1", 2, '{"arguments":{"price":"{{PRICE}}","note":"signed {{SIGNING_DATE}}"}}'),
+    ("t1", 1, '{"text":"{{CHARTERER}} charters {{VESSEL}} for {{RATE}}"}'),
+    ("t1", 2, '{"arguments":{"hire":"{{RATE}}","note":"signed {{SIGNING_DATE}}"}}'),
     ("t2", 1, '{"result":{"paid":"{{PAID}}","none":"{{NOTE}}","text":"{{PAID}} and {{NOTE}} and {{RATE}}"}}'),
     ("t3", 1, '{"text":"nothing to fill"}'),
 ])
 WORLDS = Fixture("worlds", "trace_id string, key string, value_json string", [
-    ("t1", "BUYER", '"Ember Software"'), ("t1", "TARGET", '"Riverbend Analytics"'), ("t1", "PRICE", "285000000"), ("t1", "SIGNING_DATE", '"2026-03-01"'),
+    ("t1", "CHARTERER", '"Brightwater Freight"'), ("t1", "VESSEL", '"Tern"'), ("t1", "RATE", "21000"), ("t1", "SIGNING_DATE", '"2031-01-06"'),
     ("t2", "PAID", "false"), ("t2", "NOTE", "null"), ("t2", "RATE", "7.5"),
 ])
 CHECKED_WORLDS = Fixture("checked", "trace_id string, key string, value_json string", [
-    ("ok", "PRICE", "120"), ("ok", "FEE", "6"), ("ok", "SIGNING_DATE", '"2026-03-01"'), ("ok", "CLOSING_DATE", '"2026-05-15"'), ("ok", "LAW", '"Delaware"'), ("ok", "COURT", '"Chancery"'),
-    ("late", "PRICE", "120"), ("late", "FEE", "6"), ("late", "SIGNING_DATE", '"2026-06-01"'), ("late", "CLOSING_DATE", '"2026-05-15"'), ("late", "LAW", '"Delaware"'), ("late", "COURT", '"Chancery"'),
-    ("off", "PRICE", "true"), ("off", "FEE", "6"), ("off", "SIGNING_DATE", '"2026-02-30"'), ("off", "CLOSING_DATE", '"20260515"'), ("off", "LAW", '"Delaware"'), ("off", "COURT", '"Old Bailey"'),
-    ("dear", "PRICE", "5000"), ("dear", "FEE", "4000"), ("dear", "SIGNING_DATE", '"2026-03-01"'), ("dear", "CLOSING_DATE", '"2026-05-15"'), ("dear", "LAW", '"England"'), ("dear", "COURT", '"Old Bailey"'), ("dear", "MORE", "1"),
-    ("zero", "PRICE", "0"), ("zero", "FEE", "6"), ("zero", "SIGNING_DATE", '"2026-03-01"'), ("zero", "CLOSING_DATE", '"2026-05-15"'), ("zero", "LAW", '"England"'), ("zero", "COURT", '"{{COURT}}"'),
+    ("ok", "PRICE", "120"), ("ok", "FEE", "6"), ("ok", "SIGNING_DATE", '"2031-01-06"'), ("ok", "CLOSING_DATE", '"2031-04-01"'), ("ok", "LAW", '"Delaware"'), ("ok", "COURT", '"Chancery"'),
+    ("late", "PRICE", "120"), ("late", "FEE", "6"), ("late", "SIGNING_DATE", '"2031-07-07"'), ("late", "CLOSING_DATE", '"2031-04-01"'), ("late", "LAW", '"Delaware"'), ("late", "COURT", '"Chancery"'),
+    ("off", "PRICE", "true"), ("off", "FEE", "6"), ("off", "SIGNING_DATE", '"2031-02-30"'), ("off", "CLOSING_DATE", '"20310401"'), ("off", "LAW", '"Delaware"'), ("off", "COURT", '"Old Bailey"'),
+    ("dear", "PRICE", "5000"), ("dear", "FEE", "4000"), ("dear", "SIGNING_DATE", '"2031-01-06"'), ("dear", "CLOSING_DATE", '"2031-04-01"'), ("dear", "LAW", '"England"'), ("dear", "COURT", '"Old Bailey"'), ("dear", "MORE", "1"),
+    ("zero", "PRICE", "0"), ("zero", "FEE", "6"), ("zero", "SIGNING_DATE", '"2031-01-06"'), ("zero", "CLOSING_DATE", '"2031-04-01"'), ("zero", "LAW", '"England"'), ("zero", "COURT", '"{{COURT}}"'),
 ])
 KEYS = ["CLOSING_DATE", "COURT", "FEE", "LAW", "PRICE", "SIGNING_DATE"]
 
@@ -82,7 +82,7 @@ INTERVALS = Fixture("intervals", "id string, src string, s int, e int", [
 
 _KEY = "sk-" + "abcdefghij" + "klmnopqrst"
 MARKED = Fixture("marked", "id int, text string", [
-    (1, "call +1 (555) 010-1234 or mail ann.lee@mail.example.org today"), (2, "ssn 123-45-6789 and file A-123-456-789"), (3, "on 2026-03-01 at 12 Main Street, Spring Field, NY 12345"),
+    (1, "call +1 (555) 010-1234 or mail ann.lee@mail.example.org today"), (2, "ssn 123-45-6789 and file A-123-456-789"), (3, "on 2031-01-06 at 12 Main Street, Spring Field, NY 12345"),
     (4, "[PERSON_1] met [ORG_2] and [x] not [Org_1]"), (5, ""), (6, "nothing here"), (7, "key " + _KEY + " leaked"),
 ])
 CARDS = Fixture("cards", "id int, text string", [
@@ -105,7 +105,7 @@ GUESSED = Fixture("guessed", "trace_id string, companies array<string>, year str
 TEXTS = Fixture("texts", "trace_id string, text string", [
     ("adobe_figma_2022_t01", "Adobe pays Figma; ADOBE's figma, not Adobes"), ("jetblue_spirit_1999_t01", "JetBlue and the Spirit of jetblue"), ("cisco_splunk_2023_t02", "no party"), ("unknown_case_t03", "Green Leaf grows green"),
 ])
-TOKENS = Fixture("tokens", "id int, text string, guesses array<string>", [(1, "[ORG_1] and [ORG_3] and [PERSON_1]", ["Ember", "River"]), (2, "[ORG_2] [ORG_1]", ["Ember", "River"]), (3, "[ORG_1] stays", [])])
+TOKENS = Fixture("tokens", "id int, text string, guesses array<string>", [(1, "[ORG_1] and [ORG_3] and [PERSON_1]", ["Tern", "Gull"]), (2, "[ORG_2] [ORG_1]", ["Tern", "Gull"]), (3, "[ORG_1] stays", [])])
 NAMES = Fixture("named", "trace_id string, text string", [
     ("n1", "Acme Holdings bought Borealis Systems. Acme Holdings, then Borealis Systems, and Acme Holdings paid Cedar Group."), ("n2", "Dune Analytics and Elm Corp. met; Elm Corp. left Dune Analytics"), ("n3", "nobody"),
 ])
@@ -116,4 +116,4 @@ FRESH = Fixture("fresh", "source_prefix string, title string, matter string, ste
 RAW_ATTRIBUTES = Fixture("raw", "id int, answer string", [
     (1, 'Sure: {"companies":["Adobe","Figma"],"year":"2022"} done'), (2, '{"companies":[],"year":null}'), (3, "no json"), (4, '{"companies":["A",""],"year":2021}'), (5, '{"companies":["A"], broken'),
 ])
-SCALARS = Fixture("scalars", "id int, value_json string", [(1, '"2026-03-01"'), (2, '"2026-02-30"'), (3, "12"), (4, "-1.5e3"), (5, "true"), (6, "null"), (7, '"12"'), (8, "1e999"), (9, '"20260301"')])
+SCALARS = Fixture("scalars", "id int, value_json string", [(1, '"2031-01-06"'), (2, '"2031-02-30"'), (3, "12"), (4, "-1.5e3"), (5, "true"), (6, "null"), (7, '"12"'), (8, "1e999"), (9, '"20310106"')])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from veilmark.operators import score as S
 from veilmark.operators import spans as P
 from veilmark.operators import template, validate, world
 from veilmark.operators.loop import Synthesis, published, synthesize
-from veilmark.operators.models import ScriptedAttacker, ScriptedGenerator, ScriptedInferrer, ScriptedRewriter
+from veilmark.operators.models import ClueAttacker, PatternRewriter, RuleGenerator, WordListInferrer
 from veilmark.operators.world import WorldRules
 from veilmark.plans import fixtures as X
 from veilmark.sources import traces as R
@@ -290,7 +291,7 @@ def placeholder_profile(spark, d):
 
 
 @query("""SELECT * FROM (VALUES
-  ('t1', 1, '{"text":"Ember Software buys Riverbend Analytics for 285000000"}'), ('t1', 2, '{"arguments":{"price":285000000,"note":"signed 2026-03-01"}}'),
+  ('t1', 1, '{"text":"Brightwater Freight charters Tern for 21000"}'), ('t1', 2, '{"arguments":{"hire":21000,"note":"signed 2031-01-06"}}'),
   ('t2', 1, '{"result":{"paid":false,"none":null,"text":"false and null and 7.5"}}'), ('t3', 1, '{"text":"nothing to fill"}')) AS t(trace_id, pos, payload)""")
 def fill_world(spark, d):
     maps = X.WORLDS.df(spark).groupBy("trace_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "value_json"))).alias("w"))
@@ -436,14 +437,14 @@ def mentions_exact(spark, d):
 @query("SELECT * FROM (VALUES (0, true), (1, true), (2, false), (3, false)) AS t(id, named)")
 def mentions_spaced(spark, d):
     """Word runs that equal an alias however it is spaced."""
-    rows = [(0, "the Jet Blue offer", "JetBlue"), (1, "Micro-soft, then", "Microsoft"), (2, "jetblues", "JetBlue"), (3, "", "x")]
+    rows = [(0, "at Blue Heron wharf", "BlueHeron"), (1, "Nord-licht, then", "Nordlicht"), (2, "blueherons", "BlueHeron"), (3, "", "x")]
     own = spark.createDataFrame(rows, "id int, t string, a string").select("id", F.split(T.ascii_words(F.col("t")), " ").alias("t"), F.split(T.ascii_words(F.col("a")), " ").alias("a"))
     return own.select("id", T.mentions_exact(F.col("t"), F.col("a")).alias("named"))
 
 
 _MENTIONS = [
-    ("Microsoft's ACTIVISION buyout", "Activision", True, "microsoft s activision buyout"), ("the Jet Blue offer", "JetBlue", True, "the jet blue offer"), ("Activison rose", "Activision", True, "activison rose"),
-    ("the spirit of it", "Spirit Air", False, "the spirit of it"), ("(a) be it", "ADBE", False, "a be it"), ("Ｍicrosoft said", "microsoft", True, "microsoft said"), ("unrelated", "Splunk", False, "unrelated"),
+    ("The NORDLICHT'S last crossing", "Nordlicht", True, "the nordlicht s last crossing"), ("a Blue-Heron wharf", "BlueHeron", True, "a blue heron wharf"), ("Kestrell docks at nine", "Kestrel", True, "kestrell docks at nine"),
+    ("hold the harbour", "Harbour Gate", False, "hold the harbour"), ("t i d e", "TIDE", False, "t i d e"), ("ＯＲＲＩＮ shipping", "orrin", True, "orrin shipping"), ("of no account", "Calloway", False, "of no account"),
 ]
 
 
@@ -458,7 +459,7 @@ def top_parties(spark, d):
     return S.top_names(X.NAMES.df(spark))
 
 
-@query("""SELECT * FROM (VALUES (1, 'Ember and Ember and [PERSON_1]'), (2, 'River Ember'), (3, '[ORG_1] stays')) AS t(id, text)""")
+@query("""SELECT * FROM (VALUES (1, 'Tern and Tern and [PERSON_1]'), (2, 'Gull Tern'), (3, '[ORG_1] stays')) AS t(id, text)""")
 def fill_detail(spark, d):
     return X.TOKENS.df(spark).select("id", T.fill_detail(F.col("text"), F.col("guesses")).alias("text"))
 
@@ -487,7 +488,7 @@ def repair_shapes(spark, d):
     return spark.createDataFrame(rows, "id int, b string, a string").select("id", template.repair_shape("b", "a").alias("payload"))
 
 
-@query("""SELECT * FROM (VALUES ('t1', 1, 'text; {{BUYER}} buys {{TARGET}} for {{PRICE}}'), ('t1', 2, 'arguments; price; {{PRICE}}; note; signed {{SIGNING_DATE}}'), ('t2', 1, 'result; paid; {{PAID}}; none; {{NOTE}}; text; {{PAID}} and {{NOTE}} and {{RATE}}'), ('t3', 1, 'text; nothing to fill')) AS t(trace_id, pos, texts)""")
+@query("""SELECT * FROM (VALUES ('t1', 1, 'text; {{CHARTERER}} charters {{VESSEL}} for {{RATE}}'), ('t1', 2, 'arguments; hire; {{RATE}}; note; signed {{SIGNING_DATE}}'), ('t2', 1, 'result; paid; {{PAID}}; none; {{NOTE}}; text; {{PAID}} and {{NOTE}} and {{RATE}}'), ('t3', 1, 'text; nothing to fill')) AS t(trace_id, pos, texts)""")
 def payload_leaves(spark, d):
     return X.TEMPLATES.df(spark).select("trace_id", "pos", F.array_join(template.payload_texts("payload_json"), "; ").alias("texts"))
 
@@ -517,39 +518,54 @@ def only_placeholders(spark, d):
 
 # --- loops --------------------------------------------------------------------------------------
 
-CLUE = "payable in copper tokens"
+CLUE = "demurrage counted in half tides"
 
 
-def demo(clue: str = CLUE) -> tuple[list[tuple], Synthesis]:
-    said = "Review Old Buyer taking Old Target for USD 240000000. Signing 2025-01-10, closing 2025-04-10; a fee " + clue + "."
+def demo() -> tuple[list[tuple], Synthesis]:
+    """A charter party with one term that gives it away, and stand-ins that take two rounds over it."""
+    terms = "Orrin Shipping lets the Maren Two to Halcyon Line at 18500 a day from 2024-08-05, " + CLUE
     rows = [
-        ("demo", 1, "segment_0001", '{"text": "' + said + '"}'),
-        ("demo", 2, "segment_0002", '{"arguments": {"buyer": "Old Buyer", "target": "Old Target"}}'),
-        ("demo", 3, "segment_0003", '{"result": {"buyer": "Old Buyer", "price_usd": 240000000, "signing_date": "2025-01-10", "fee": "' + clue + '"}}'),
+        ("charter", 1, "segment_0001", "user", "message", '{"text": "Is this fixture in order? ' + terms + '"}', None, None),
+        ("charter", 2, "segment_0002", "assistant", "tool_call", '{"arguments": {"owner": "Orrin Shipping", "rate": 18500}}', "find_fixture", "call_0001"),
+        ("charter", 3, "segment_0003", "tool", "tool_result", '{"result": {"vessel": "Maren Two", "hire": [18500, "a day"], "laycan": "2024-08-05", "note": null}}', "find_fixture", "call_0001"),
+        ("charter", 4, "segment_0004", "assistant", "message", '{"text": "It is. ' + terms + '."}', None, None),
     ]
     how = Synthesis(
-        ScriptedInferrer({"Old Buyer": "parties"}),
-        ScriptedRewriter({"Old Buyer": "{{BUYER}}", "Old Target": "{{TARGET}}", "240000000": "{{PRICE}}", "2025-01-10": "{{SIGNING_DATE}}", "2025-04-10": "{{CLOSING_DATE}}"}, {240000000: "{{PRICE}}"}, {clue: "on agreed terms"}),
-        ScriptedGenerator({"BUYER": "Ember Software", "TARGET": "Riverbend Analytics", "PRICE": 285000000, "SIGNING_DATE": "2026-03-01", "CLOSING_DATE": "2026-05-15"}),
-        ScriptedAttacker(clue, "Old demo matter"),
-        rounds=2,
-        rules=WorldRules(numeric_ranges={"PRICE": (10_000_000, 1_000_000_000)}),
+        WordListInferrer({"parties": ("Halcyon Line", "Orrin Shipping", "Maren Two"), "amounts": ("18500",)}),
+        PatternRewriter((("Halcyon Line", "{{CHARTERER}}", 0), ("Orrin Shipping", "{{OWNER}}", 0), ("Maren Two", "{{VESSEL}}", 0), (r"\b18500\b", "{{RATE}}", 0), ("2024-08-05", "{{SIGNING_DATE}}", 0), (CLUE, "demurrage as usual", 1))),
+        RuleGenerator(("Brightwater Freight", "Calloway Marine", "Tern")),
+        ClueAttacker({"half tides": "the Maren Two fixture"}),
+        rounds=3,
+        rules=WorldRules(numeric_ranges={"RATE": (12_000, 30_000)}),
     )
     return rows, how
 
 
-@query("""SELECT * FROM (VALUES ('demo', 'passed_attack', 1, 'reidentified'), ('demo', 'passed_attack', 2, 'passed_attack')) AS t(trace_id, status, round, attempt)""")
-def synthesize_loop(spark, d):
+def _demo_tables(spark, names: tuple[str, ...]) -> tuple[DataFrame, DataFrame, Synthesis]:
     rows, how = demo()
-    segments = spark.createDataFrame(rows, "trace_id string, pos int, segment_id string, payload_json string")
-    ground = spark.createDataFrame([("demo", "Old demo matter"), ("demo", "Old Buyer")], "trace_id string, alias string")
+    return spark.createDataFrame(rows, X.SEGMENT), spark.createDataFrame([("charter", n) for n in names], "trace_id string, alias string"), how
+
+
+@query("""SELECT * FROM (VALUES ('charter', 'passed_attack', 1, 'reidentified'), ('charter', 'passed_attack', 2, 'passed_attack')) AS t(trace_id, status, round, attempt)""")
+def synthesize_loop(spark, d):
+    segments, ground, how = _demo_tables(spark, ("the Maren Two fixture", "Halcyon Line"))
     return synthesize(segments, ground, how).select("trace_id", "status", "round", "attempt")
 
 
-@query("""SELECT 'syn-001' AS id, 'demo' AS source_id, 3::BIGINT AS n""")
+@query("""SELECT 'syn-001' AS id, 'charter' AS source_id, 4::BIGINT AS n""")
 def synthesize_published(spark, d):
-    rows, how = demo()
-    segments = spark.createDataFrame(rows, "trace_id string, pos int, segment_id string, payload_json string")
-    ground = spark.createDataFrame([("demo", "Old demo matter")], "trace_id string, alias string")
-    order = spark.createDataFrame([("demo", 1)], "trace_id string, place int")
+    segments, ground, how = _demo_tables(spark, ("the Maren Two fixture",))
+    order = spark.createDataFrame([("charter", 1)], "trace_id string, place int")
     return published(synthesize(segments, ground, how), order, 10).select("id", "source_id", F.size("payloads").cast("long").alias("n"))
+
+
+@query("""
+SELECT 'conv_' || conv_id AS trace_id, 'passed_attack' AS status, 1 AS round, count(*) AS n FROM conversations GROUP BY conv_id
+""")
+def synthesize_conversations(spark, d):
+    """The whole loop over every conversation: nothing asked for is in it, so each passes as it is."""
+    segments = R.conversation_segments(table(spark, d, "conversations"))
+    ground = segments.select("trace_id", F.lit("Halcyon Line").alias("alias")).distinct()
+    how = replace(demo()[1], rules=WorldRules())  # rules bind every trace, and these invent nothing
+    done = synthesize(segments, ground, how)
+    return done.select("trace_id", "status", "round", F.size("payloads").cast("long").alias("n"))
