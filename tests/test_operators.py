@@ -1,6 +1,7 @@
 """Properties and cases of single operators."""
 
 import json
+import time
 from difflib import SequenceMatcher
 
 import pytest
@@ -10,16 +11,17 @@ from pyspark.sql import functions as F
 
 from veilmark import engine
 from veilmark.functions import json_values as J
+from veilmark.functions import ranges, text
 from veilmark.functions.match import Aliases, jaro_winkler_of, names, normal_form
 from veilmark.functions.trace_rules import Segment, trace_error
-from veilmark.operators import loop, spans, template, validate
+from veilmark.operators import loop, score, spans, template, validate
 from veilmark.operators.models import Hint, Inference, ModelError, PatternRewriter, Report, RuleGenerator, WordListInferrer
 from veilmark.operators.score import verdicts
 from veilmark.operators.world import WorldRules
 from veilmark.plans import fixtures as X
 from veilmark.plans.queries import CLUE, demo
 from veilmark.sources import traces as R
-from veilmark.streaming.redact import redacted, resolved
+from veilmark.streaming.redact import aliased, redacted, resolved
 
 
 @given(st.lists(st.tuples(st.integers(0, 40), st.integers(1, 12)), max_size=12))
@@ -312,3 +314,68 @@ def test_settings_and_findings():
     with pytest.raises(J.Rejected):
         J.flat_value([[1]])
     assert J.flat_value({"signing": 2022, "no": None}) == "signing: 2022"
+
+
+def slowly_scrubbed(rows):
+    """Spans, numbers and splices one step at a time: (trace_id, step, detail) and what comes of it."""
+    out, known, count = [], {}, {}
+    for t, step, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1] is not None, r[1] or 0, r[2] is not None, r[2] or "")):
+        out.append((t, step, aliased(text, known.setdefault(t, {}), count.setdefault(t, {}))))
+    return sorted(map(str, out))
+
+
+STEP = "trace_id string, step int, detail string"
+
+
+def test_scrub_leaks_nothing_and_loses_nothing(spark):
+    """Null and repeated keys, null and empty texts, and columns of the operator's own names."""
+    rows = [(None, 1, "mail a@b.org"), ("t", None, "mail c@d.org"), ("t", 1, "mail a@b.org x"), ("t", 1, "zz c@d.org x"), ("t", 1, "zz c@d.org x"), (None, None, "a@b.org and e@f.org"), ("u", 1, None), ("u", 2, ""), ("u", 3, "none"), ("v", 1, "+1 (555) 010-1234 A@b.org a@B.org")]
+    own = spark.createDataFrame(rows, STEP).withColumns({c: F.lit(c) for c in ("start", "end", "category", "token", "plan", "spans", "first", "n", "value")})
+    got = spans.scrub(own)
+    assert got.columns == own.columns
+    assert sorted(str((r.trace_id, r.step, r.detail)) for r in got.collect()) == slowly_scrubbed(rows)
+    assert not any("@" in (r.detail or "") for r in got.collect()) and spans.scrub(spark.createDataFrame([], STEP)).count() == 0
+    assert got.where("spans <> 'spans' or n <> 'n'").count() == 0
+    plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_scrubbed_documents_match_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(f"doc_{r.doc_id}", 1, r.text) for r in docs.collect()]
+    steps = spark.createDataFrame(rows, STEP)
+    want = slowly_scrubbed(rows)
+    for single in (False, True):
+        assert sorted(str(tuple(r)) for r in spans.scrub(steps, single=single).collect()) == want
+    together = [("all", i, t) for i, (_, _, t) in enumerate(rows)]
+    assert sorted(str(tuple(r)) for r in spans.scrub(spark.createDataFrame(together, STEP)).collect()) == slowly_scrubbed(together)
+
+
+def test_long_tokens_around_digits():
+    assert list(spans.card_spans("b1" + "x" * 300 + "4242424242424242")) == []  # a letter among digits, however far
+    assert list(spans.card_spans("x" * 300 + "4242424242424242")) == [(300, 316)]
+
+
+def test_edges_of_column_functions(spark):
+    one = spark.range(1).select(text.fill_detail(F.lit("[ORG_99999999999] [ORG_0] [ORG_2]"), F.array(F.lit("A"), F.lit("B"))).alias("f"), text.luhn(F.lit("")).alias("l"), text.luhn(F.lit("42x")).alias("m"), text.luhn(F.lit("4242424242424242")).alias("v")).first()
+    assert tuple(one) == ("A A B", False, False, True)
+
+
+def test_places(spark):
+    keys = [None, 5, -3, 10**15, 5, None, 0, -(10**12)] + list(range(0, 3000, 7))
+    own = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k long, i int").repartition(3)
+    for each in (100_000, 50):
+        got = score.with_place(own, "k", each).orderBy("place").collect()
+        assert [r.place for r in got] == list(range(1, len(keys) + 1))
+        assert [r.k for r in got] == sorted(keys, key=lambda k: (k is not None, k or 0))
+    start = time.time()
+    spark.range(10).select(ranges.above(F.col("id"), list(range(0, 80_000, 10)))).collect()
+    assert time.time() - start < 10 and spark.range(99).where(ranges.above(F.col("id"), [3, 7, 50]) != F.when(F.col("id") < 3, 0).when(F.col("id") < 7, 1).when(F.col("id") < 50, 2).otherwise(3)).count() == 0
+
+
+def test_stream_state_times_out(spark, tmp_path):
+    src = str(tmp_path / "in")
+    spark.createDataFrame([("t", 1, "a@b.org 2031-01-06"), ("t", 2, None)], STEP).coalesce(1).write.json(src, ignoreNullFields=False)
+    q = redacted(spark.readStream.schema(STEP).json(src), idle_ms=60_000).writeStream.format("memory").queryName("idle").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert [r.detail for r in spark.table("idle").orderBy("step").collect()] == ["[EMAIL_1] [DATE_1]", None]

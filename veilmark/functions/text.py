@@ -129,10 +129,11 @@ def unmarked(text: Column) -> Column:
     return F.replace(text, F.lit(MARK), F.lit(""))
 
 
-def fill_detail(text: Column, guesses: Column, most: int = 20) -> Column:
-    """[ORG_n] becomes the n-th guess, or the first if there are fewer; no guesses, no change."""
+def fill_detail(text: Column, guesses: Column) -> Column:
+    """[ORG_n] becomes the n-th guess, or the first if there are fewer (or n is 0, or no whole number that fits);
+    no guesses, no change."""
     tokens = F.array_distinct(F.regexp_extract_all(text, F.lit(r"\[ORG_(\d+)\]"), F.lit(1)))
-    guess = lambda n: F.coalesce(F.get(guesses, n.cast("int") - 1), F.get(guesses, F.lit(0)))
+    guess = lambda n: F.coalesce(F.get(guesses, n.try_cast("int") - 1), F.get(guesses, F.lit(0)))
     filled = F.aggregate(tokens, text, lambda a, n: F.replace(a, F.concat(F.lit("[ORG_"), n, F.lit("]")), guess(n)))
     return F.when(F.size(guesses) > 0, filled).otherwise(text)
 
@@ -149,10 +150,11 @@ def alias_norm(value: Column) -> Column:
 
 
 def luhn(digits: Column) -> Column:
-    """Does a string of digits pass the Luhn check?"""
+    """Does a string of digits pass the Luhn check? Anything else, the empty string too, does not."""
     n = F.length(digits)
-    each = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(digits, i, F.lit(1)).cast("int") * F.when((n - i) % 2 == 1, 2).otherwise(1))
-    return F.aggregate(each, F.lit(0), lambda a, d: a + F.when(d > 9, d - 9).otherwise(d)) % 10 == 0
+    each = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(digits, i, F.lit(1)).try_cast("int") * F.when((n - i) % 2 == 1, 2).otherwise(1))
+    fits = F.aggregate(each, F.lit(0), lambda a, d: a + F.when(d > 9, d - 9).otherwise(d)) % 10 == 0
+    return F.when(digits.isNotNull(), F.regexp_like(digits, F.lit(r"\A[0-9]+\z")) & F.coalesce(fits, F.lit(False)))
 
 
 def iso_date(text: Column) -> Column:

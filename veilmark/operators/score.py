@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilmark.functions.match import jaro_winkler
+from veilmark.functions.ranges import above, bounds
 from veilmark.functions.text import deal_year, parties
 
 CLOSE = 0.75
@@ -131,14 +132,16 @@ def pair_by_source(originals: DataFrame, synthetic: DataFrame) -> DataFrame:
     return synthetic.select("trace_id", "source_id", F.col("text").alias("transformed")).join(o, "source_id")
 
 
-def with_place(df: DataFrame, key: str, width: int = 20_000) -> DataFrame:
-    """Places 1, 2, ... in order of a whole-number key, without one task that holds all rows: rows before
-    each stretch of ``width`` key values, then ranks within it."""
-    rows = df.withColumn("_s", F.floor(F.col(key) / width))
+def with_place(df: DataFrame, key: str, each: int = 100_000) -> DataFrame:
+    """Places 1, 2, ... in order of a whole-number key, nulls first, without one task that holds all rows: ranges of
+    about ``each`` rows, and in each a row's rank and the rows of the ranges before it. Equal keys share a range."""
+    k = F.col(key).cast("long")
+    cuts = bounds(df.where(k.isNotNull()), k, df.count() // each + 1)
+    rows = df.withColumn("_s", F.when(k.isNull(), F.lit(-1)).otherwise(above(k, cuts)))
     counts = rows.groupBy("_s").agg(F.count("*").alias("_c"))
-    before = counts.select("_s", F.coalesce(F.sum("_c").over(Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
+    before = counts.select("_s", F.coalesce(F.sum("_c").over(Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))  # a row for each range
     rank = F.row_number().over(Window.partitionBy("_s").orderBy(key))
-    return rows.withColumn("_r", rank).join(before, "_s").withColumn("place", F.col("_b") + F.col("_r")).drop("_s", "_r", "_b")
+    return rows.withColumn("_r", rank).join(F.broadcast(before), "_s").withColumn("place", F.col("_b") + F.col("_r")).drop("_s", "_r", "_b")
 
 
 def pair_by_place(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
 """From detected spans to consistent, numbered placeholders.
 
-detect (Arrow) -> resolve overlaps (native fold) -> number (windows) -> splice (native). The only
-shuffle is on trace_id, for the numbering.
+detect (Arrow) -> resolve overlaps (native fold) -> number (windows) -> splice (native). A trace with one row is
+numbered within the row and moves nowhere; the others are dealt once, by trace_id, and every window and the
+splice follow that.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ SECRETS = (
 )
 _EMAIL, _RUN, _SECRETS = re.compile(EMAIL), re.compile(DIGIT_RUN), [re.compile(s) for s in SECRETS]
 _STANDIN = [(re.compile(DISPLAY_PATTERNS[k]), c) for k, c in (("PHONE", "private_phone"), ("DATE", "private_date"), ("ADDRESS", "private_address"))]
-_ALNUM_LEFT, _ALNUM_RIGHT = re.compile(r"[A-Za-z0-9]*\Z"), re.compile(r"[A-Za-z0-9]*")
+_ALNUM_RIGHT = re.compile(r"[A-Za-z0-9]*")
 
 
 def luhn(digits: str) -> bool:
@@ -48,7 +49,10 @@ def within_identifier(text: str, start: int, end: int) -> bool:
     run = text[start:end]
     if not run.isdigit() or not (re.match("[A-Za-z]", text[end : end + 1]) or re.match("[A-Za-z]", text[max(0, start - 1) : start])):
         return False
-    token = _ALNUM_LEFT.search(text, max(0, start - 256), start)[0] + run + _ALNUM_RIGHT.match(text, end)[0]
+    left = start
+    while left and text[left - 1].isascii() and text[left - 1].isalnum():
+        left -= 1
+    token = text[left:start] + run + _ALNUM_RIGHT.match(text, end)[0]
     return bool(re.search("[A-Za-z]", re.sub(r"^[A-Za-z]+|[A-Za-z]+$", "", token)))
 
 
@@ -75,6 +79,11 @@ def structured_spans(text: str | None) -> list[tuple[int, int, str]]:
     return out + [(a, b, "account_number") for a, b in card_spans(text)]
 
 
+def standin(text: str | None) -> list[tuple[int, int, str]]:
+    """What stands in for a learned detector: phone, date and address patterns."""
+    return [(*m.span(), c) for p, c in _STANDIN for m in p.finditer(text)] if text else []
+
+
 def _rows(spans: list[tuple[int, int, str]]) -> list[dict]:
     return [{"start": a, "end": b, "category": c} for a, b, c in spans]
 
@@ -86,8 +95,7 @@ def regex_spans(text: pd.Series) -> pd.Series:
 
 @F.pandas_udf(SPAN_TYPE)
 def standin_spans(text: pd.Series) -> pd.Series:
-    """What stands in for a learned detector: phone, date and address patterns."""
-    return text.map(lambda t: _rows([(*m.span(), c) for p, c in _STANDIN for m in p.finditer(t)]) if t else [])
+    return text.map(lambda t: _rows(standin(t)))
 
 
 def valid_spans(spans: Column, text: Column) -> Column:
@@ -116,11 +124,25 @@ def detect(steps: DataFrame, text: str = "detail", learned=standin_spans) -> Dat
 
 def number_aliases(spans: DataFrame) -> DataFrame:
     """``spans``: trace_id, step, start, category, value. Adds norm, n and token: within a trace and category
-    the distinct norms are numbered by first appearance."""
+    the distinct norms are numbered by first appearance, in order of (step, start), null steps first. A null
+    trace_id is a trace."""
+    place = [c for c in ("step", "_row", "start") if c in spans.columns]
     keyed = spans.withColumn("norm", alias_norm(F.col("value")))
-    first = F.min(F.struct("step", "start")).over(Window.partitionBy("trace_id", "category", "norm"))
+    first = F.min(F.struct(*place)).over(Window.partitionBy("trace_id", "category", "norm"))
     n = F.dense_rank().over(Window.partitionBy("trace_id", "category").orderBy("first"))
-    return keyed.withColumn("first", first).withColumn("n", n.cast("long")).withColumn("token", F.concat(F.lit("["), placeholder_prefix(F.col("category")), F.lit("_"), F.col("n"), F.lit("]"))).drop("first")
+    return keyed.withColumn("first", first).withColumn("n", n.cast("long")).withColumn("token", token_of(F.col("category"), F.col("n"))).drop("first")
+
+
+def token_of(category: Column, n: Column) -> Column:
+    return F.concat(F.lit("["), placeholder_prefix(category), F.lit("_"), n, F.lit("]"))
+
+
+def numbered_in_row(spans: Column, text: Column) -> Column:
+    """start, end and token of each span of one text, numbered by first appearance in it alone."""
+    value = lambda s: alias_norm(F.substring(text, s["start"] + 1, s["end"] - s["start"]))
+    known = F.transform(F.array_sort(spans, lambda a, b: a["start"] - b["start"]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["category"].alias("category"), value(s).alias("norm")))
+    distinct = lambda category: F.array_distinct(F.transform(F.filter(known, lambda k: k["category"] == category), lambda k: k["norm"]))
+    return F.transform(known, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), token_of(s["category"], F.array_position(distinct(s["category"]), s["norm"])).alias("token")))
 
 
 def splice(text: Column, plan: Column) -> Column:
@@ -134,11 +156,28 @@ def splice(text: Column, plan: Column) -> Column:
     return F.when(F.size(plan) > 0, F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text)))).otherwise(text)
 
 
-def scrub(steps: DataFrame, learned=standin_spans) -> DataFrame:
-    """``steps``: trace_id, step, detail and more. Each detected value becomes its trace's token."""
-    found = detect(steps, learned=learned)
-    each = found.select("trace_id", "step", "detail", F.explode("spans").alias("s")).select("trace_id", "step", "s.*", F.substring("detail", F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("value"))
-    plan = number_aliases(each).groupBy("trace_id", "step").agg(F.collect_list(F.struct("start", "end", "token")).alias("plan"))
-    empty = F.array().cast("array<struct<start:int,end:int,token:string>>")
-    out = steps.join(plan, ["trace_id", "step"], "left").withColumn("detail", splice(F.col("detail"), F.coalesce("plan", empty)))
-    return out.select(steps.columns)
+def scrub(steps: DataFrame, learned=standin_spans, single: bool = False) -> DataFrame:
+    """``steps``: trace_id, step, detail and more. Each detected value becomes its trace's token.
+
+    Steps are numbered in order of (step, text); null steps come first, and rows with a null trace_id are one trace.
+    Rows equal in trace_id and step are steps of their own. Null detail: stays null. ``single`` says that each
+    row is a trace by itself: then nothing is shuffled, and trace_id and step do not matter."""
+    plan = F.array().cast("array<struct<start:int,end:int,token:string>>")
+    found = detect(steps.select("trace_id", "step", F.col("detail").alias("_text"), F.struct(*steps.columns).alias("_own")), "_text", learned)
+    done = lambda plan: [splice(F.col("_text"), plan).alias(c) if c == "detail" else F.col("_own")[c].alias(c) for c in steps.columns]
+    if single:
+        return found.select(done(F.coalesce(numbered_in_row(F.col("spans"), F.col("_text")), plan)))
+    # Dealt once: all windows and the fold that puts the rows back together ask for no more than trace_id.
+    dealt = found.repartition(F.col("trace_id"))
+    row = Window.partitionBy("trace_id").orderBy("step", "_text")  # what ties has equal spans
+    each = dealt.withColumn("_row", F.row_number().over(row)).select("*", F.explode_outer("spans").alias("_s"))
+    value = alias_norm(F.substring("_text", F.col("_s.start") + 1, F.col("_s.end") - F.col("_s.start")))
+    each = each.withColumn("_norm", value)
+    place = F.struct("_row", F.col("_s.start"))
+    first = F.min(place).over(Window.partitionBy("trace_id", "_s.category", "_norm"))
+    n = F.dense_rank().over(Window.partitionBy("trace_id", "_s.category").orderBy("_first"))
+    told = each.withColumn("_first", first).withColumn("_token", F.when(F.col("_s").isNotNull(), F.struct("_s.start", "_s.end", token_of(F.col("_s.category"), n).alias("token"))))
+    # The first row of each step carries its columns; the others bring their spans along.
+    by = Window.partitionBy("trace_id", "_row")
+    rows = told.withColumn("_plan", F.collect_list("_token").over(by)).withColumn("_k", F.row_number().over(by.orderBy(F.col("_s.start").asc_nulls_first()))).where("_k = 1")
+    return rows.select(done(F.col("_plan")))

@@ -223,9 +223,9 @@ def redact_constant(spark, d):
 
 @query()
 def redact_numbered(spark, d):
-    """Detection, numbering and splicing over documents, each its own trace."""
+    """Detection, numbering and splicing over documents, each its own trace of one step."""
     steps = table(spark, d, "documents").select(F.concat(F.lit("doc_"), F.col("doc_id")).alias("trace_id"), F.lit(1).alias("step"), F.col("text").alias("detail"))
-    return P.scrub(steps)
+    return P.scrub(steps, single=True)
 
 
 @query(f"SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '{PHONE}'))), '; ') AS v FROM documents WHERE len(regexp_extract_all(text, '{PHONE}')) > 0")
