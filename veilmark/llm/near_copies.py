@@ -133,19 +133,22 @@ def _linked(bits: int):
             fp = np.frombuffer(b"".join(blobs), np.uint64).reshape(-1, 3)
             part, own_bucket = bucket >> bits, bucket & ((1 << bits) - 1)
             value = _parts(np.ascontiguousarray(fp))[:, part]
-            own, made = _syndrome(value, bits), []
-            for s in np.unique(own).tolist():
-                if (m := masks.get(s ^ own_bucket)) is not None:
-                    i = np.flatnonzero(own == s)
-                    made.append((((value[i][:, None] ^ m) << np.uint64(32)) | i.astype(np.uint64)[:, None]).ravel())
+            own = _syndrome(value, bits)
+            fits = [(np.flatnonzero(own == s), m) for s in np.unique(own).tolist() if (m := masks.get(s ^ own_bucket)) is not None]
             # A value above, the number of its fingerprint below: one sort brings equals together.
-            all_ = np.concatenate(made) if made else np.empty(0, np.uint64)
-            made.clear()
+            all_, at = np.empty(sum(len(i) * len(m) for i, m in fits), np.uint64), 0
+            for i, m in fits:
+                to = all_[at : at + len(i) * len(m)].reshape(len(i), len(m))
+                np.bitwise_xor(value[i][:, None], m, out=to)
+                np.left_shift(to, np.uint64(32), out=to)
+                np.bitwise_or(to, i.astype(np.uint64)[:, None], out=to)
+                at += to.size
             all_.sort()
-            top = all_ >> np.uint64(32)
-            same = np.flatnonzero(top[1:] == top[:-1]) + 1
-            met = np.union1d(same, same - 1)  # only what meets something is looked at further
-            i, top = (all_[met] & np.uint64(0xFFFFFFFF)).astype(np.int64), top[met]
+            # Only what meets something is looked at further; in stretches, for less memory.
+            same = [np.flatnonzero(all_[a + 1 : a + PAIRS + 1] >> np.uint64(32) == all_[a : a + len(all_[a + 1 : a + PAIRS + 1])] >> np.uint64(32)) + a + 1 for a in range(0, len(all_), PAIRS)]
+            same = np.concatenate(same) if same else np.empty(0, np.int64)
+            met = np.union1d(same, same - 1)
+            i, top = (all_[met] & np.uint64(0xFFFFFFFF)).astype(np.int64), all_[met] >> np.uint64(32)
             del all_
             new = np.append(True, top[1:] != top[:-1])[: len(top)]
             label = _tied(i, new, fp)
