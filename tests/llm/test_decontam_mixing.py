@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.helpers import awkward, crowded, docs, empty, prose
-from veilmark.llm import decontam, mixing
+from veilmark.llm import common, decontam, mixing
 from veilmark.llm.queries import op6_decontamination
 
 ITEM = "item_id long, text string"
@@ -70,10 +70,10 @@ def cut(rows, budget=1.5):
     return out
 
 
-@pytest.mark.parametrize("each", [mixing.RANGE, 60])
+@pytest.mark.parametrize("each", [common.RANGE, 60])
 @pytest.mark.parametrize("rows", [awkward(), [(i, prose(i, 1 + i % 50), None, f"s{i % 7 if i % 3 else 0}", 0) for i in range(400)]])
 def test_mix(spark, rows, each, monkeypatch):
-    monkeypatch.setattr(mixing, "RANGE", each)
+    monkeypatch.setattr(common, "RANGE", each)
     got = mixing.mixed(docs(spark, rows)).collect()
     assert len(got) == len(rows)
     assert sorted((str(r.doc_id), r.size) for r in got) == sorted((str(d), len((t or "").encode().split())) for d, t, *_ in rows)

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import math
+import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder, as in tests on one machine.
-LOCAL_WORK = "/tmp/checkpoints/veilmark"
+from veilmark.functions.ranges import above, bounds
+
+#: Rows in a range of a global order, about.
+RANGE = 100_000
+_local: str | None = None
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -19,8 +23,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def workdir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in ``spark.checkpoint.dir``."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or LOCAL_WORK
+    """The shared folder that the cluster names in ``spark.checkpoint.dir``. Where it names none, a folder of this
+    machine will do if driver and executors are one process, as in tests, and is an error else."""
+    if named := spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
+        return named
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+    global _local
+    _local = _local or tempfile.mkdtemp(prefix="veilmark-")
+    return _local
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -64,18 +75,29 @@ def lower_ascii(c: Column | str) -> Column:
 def by_ranges(df: DataFrame, key: Column, n: int) -> tuple[Column, int]:
     """The number of the range that a row's key falls in, 0 and up, and how many ranges there are.
 
-    n ranges of about as many rows each; the driver gets one bound for each, whatever the size of
-    the table. Equal keys share a range."""
-    bounds = sorted({int(x) for x in df.select(key.cast("double").alias("k")).approxQuantile("k", [i / n for i in range(1, n)], 0.1 / n)}) if n > 1 else []
-    return _above(key, bounds).cast("int"), len(bounds) + 1
-
-
-def _above(key: Column, bounds: list[int]) -> Column:
-    """How many of the sorted bounds are not above the key, by halving."""
-    if not bounds:
-        return F.lit(0)
-    m = len(bounds) // 2
-    return F.when(key < bounds[m], _above(key, bounds[:m])).otherwise(_above(key, bounds[m + 1 :]) + (m + 1))
+    n ranges of about as many rows each; the driver gets one number for each. Equal keys share a range."""
+    cuts = bounds(df, key, n)
+    return above(key, cuts).cast("int"), len(cuts) + 1
+
+
+def in_ranges(df: DataFrame, order: list[Column], name: str, **sums: Column) -> tuple[DataFrame, DataFrame, WindowSpec]:
+    """``df`` sorted into ranges and written with the number of each row's range (_range); for each range the
+    sums over all ranges before it; and the window of the rows before a row within its range."""
+    n = parts_for(df.sparkSession, df.count(), RANGE)
+    own = written(df.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()).sortWithinPartitions(*order), name)
+    ahead = own.groupBy("_range").agg(*(F.sum(v).alias(k) for k, v in sums.items()))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    ahead = ahead.select("_range", *(F.coalesce(F.sum(k).over(before), F.lit(0)).alias(k) for k in sums))
+    return own, ahead, Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+
+
+def running(df: DataFrame, order: list[Column], name: str, **sums: Column) -> DataFrame:
+    """``df`` with sums over all rows that come before each in this order. Ranges are of ``RANGE`` rows about, and no
+    task gets more than a range, or a row for each range."""
+    own, ahead, within = in_ranges(df, order, name, **sums)
+    inner = own.select("*", *(F.coalesce(F.sum(v).over(within), F.lit(0)).alias(f"_in_{k}") for k, v in sums.items()))
+    out = inner.join(F.broadcast(ahead), "_range")  # a row for each range of RANGE rows
+    return out.select(*df.columns, *((F.col(k) + F.col(f"_in_{k}")).alias(k) for k in sums))
 
 
 def shielded(docs: DataFrame, *own: str) -> tuple[DataFrame, dict[str, str]]:

@@ -6,8 +6,8 @@ documents, in the order of document counts. A window with a shingle that no docu
 Documents meet windows on that one shingle; position and length bounds drop windows that would start
 before the document or run beyond it; and each survivor is compared word for word with the document.
 
-A document's shingles are first looked up in a map of bits of all item shingles, ``LONGS`` longs, whatever
-the number of items; the few that remain take along the words around them, so that the comparison needs
+A document's shingles are first looked up in a map of bits of all item shingles, two of 16 bits for each, up
+to ``LONGS`` longs (a million shingles; beyond, more of the others get through to the join); the few that remain take along the words around them, so that the comparison needs
 no second look at the text, and no text is shuffled. Item shingles are broadcast only if they are
 ``BROADCAST`` at most, by count; beyond that they are joined by shuffle.
 """
@@ -22,8 +22,8 @@ from veilmark.llm.common import lower_ascii, shielded, written
 WINDOW, SHINGLE = 10, 5
 #: Of 8 bytes each, with as much again for the hash table.
 BROADCAST = 500_000
-#: 2^20 bits: with 10,000 item shingles, one in a hundred others gets through to the join.
-LONGS = 1 << 14
+#: Of the map at most. One in 70 of the shingles that no item has gets through to the join.
+LONGS = 1 << 18
 NO_ID = -(2**63)
 _GAP = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
@@ -71,16 +71,25 @@ def _hits(keyed: DataFrame, items: DataFrame, window: int, shingle: int) -> tupl
         own = own.unionByName(p)
     own = written(own.select("win", "tokens", "m", "n", F.col("x.p").alias("o"), F.col("x.s").alias("s")), "shingles")
     wanted = own.select("s", "n").distinct()
-    if own.count() <= BROADCAST:
+    n_shingles = own.count()
+    if n_shingles <= BROADCAST:
         wanted = F.broadcast(wanted)
 
-    # A bit for each item shingle: LONGS numbers at most, summed up by Spark.
-    slot, bit = F.pmod("s", F.lit(LONGS)), F.expr("cast(pmod(shiftright(s, 32), 64) as int)")
-    bits = {r[0]: r[1] for r in own.groupBy(slot.alias("slot")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("v")).collect()}
-    table = F.split(F.lit(",".join(str(bits.get(i, 0)) for i in range(LONGS))), ",").cast("array<bigint>")
+    # Two bits for each item shingle: a map of LONGS numbers at most, summed up by Spark.
+    longs = min(LONGS, 1 << max(6, (n_shingles // 4).bit_length()))
+
+    def places(s: Column) -> list[tuple[Column, Column]]:
+        """Slot and bit of each of a shingle's two bits."""
+        other = F.xxhash64(s)
+        return [(F.pmod(x, F.lit(longs)).cast("int"), F.pmod(F.shiftright(x, 32), F.lit(64)).cast("int")) for x in (s, other)]
+
+    each = own.select("s").distinct().select(F.explode(F.array(*(F.struct(slot.alias("slot"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("v")) for slot, bit in places(F.col("s"))))).alias("x"))
+    bits = {r[0]: r[1] for r in each.groupBy("x.slot").agg(F.bit_or("x.v")).collect()}
+    table = F.split(F.lit(",".join(str(bits.get(i, 0)) for i in range(longs))), ",").cast("array<bigint>")
 
     def known(s: Column) -> Column:
-        return F.getbit(F.get(table, F.pmod(s, F.lit(LONGS)).cast("int")), F.pmod(F.shiftright(s, 32), F.lit(64)).cast("int")) == 1
+        (slot, bit), (slot2, bit2) = places(s)
+        return (F.getbit(F.get(table, slot), bit) == 1) & (F.getbit(F.get(table, slot2), bit2) == 1)
 
     # One pass over the texts: which positions may hold a wanted shingle, with the words around each, and
     # a row for each document.

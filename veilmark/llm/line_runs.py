@@ -1,16 +1,18 @@
-"""Line dedup: repeated runs of lines, found by prefix doubling over sequences of line ids.
+"""Line dedup: repeated runs of lines, by a suffix array over sequences of line ids.
 
 Each document is a sequence of line ids (a line is its text without white space at both ends; blank
-lines do not count). Suffixes of all sequences are ranked by their first 1, 2, 4, ... lines: round a
-joins the rank of a suffix with that of the suffix 2^a lines on, and equal pairs get one rank. The
-rank of a class of equal runs is the place where it first occurs, which is what must be known of an
-interval of the longest-common-prefix table: whether a run of this length repeats, and where its
-first copy is. A suffix whose run occurs once leaves, as no longer run of it can repeat; so rounds
-work on what repeats and not on the corpus.
-
-A run repeats if it has ``min_words`` words at least. Every maximal repeated run is the union of runs
-that just reach this number, forward from each of its lines and backward from each; these are looked
-up from two ranks of overlapping halves. Copies after the first are deleted.
+lines do not count). The suffixes of all sequences are ranked by prefix doubling: by their first line, and
+then, round after round, by the pair of ranks of a suffix and of the one 2^a lines on, in sorted order over
+ranges. The rank of a suffix is the place in the suffix array where its class starts, the class being the
+suffixes with the same first 2^a lines; and a class of n suffixes is the interval of places [rank, rank + n) in
+which neighbours have a longest common prefix of 2^a lines or more. An interval of any other depth is
+where two of these overlap: the same first 2^a and the same last 2^a lines.
+
+A suffix whose interval holds nothing else leaves, as no longer run of it can repeat; so rounds work on
+what repeats and not on the corpus, and go only as deep as a run has to be. A run repeats if it has
+``min_words`` words at least. Every maximal repeated run is the union of runs that just reach this number,
+forward from each of its lines and backward from each; so intervals of these depths are enough. Each keeps
+the copy that is first in the corpus; the lines of the others are deleted.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilmark.llm.common import discard, shielded, written
+from veilmark.llm.common import discard, running, shielded, written
 
 MIN_WORDS = 5
 NO_ID = -(2**63)
@@ -93,6 +95,14 @@ def _cut(keep: list[str]):
     return run
 
 
+def intervals(suffixes: DataFrame, key: list[str], rank: str) -> DataFrame:
+    """The intervals of the suffix array that hold several suffixes, by key in sorted order: the key and the place at
+    which each starts. Written, so that a join with them gets exchanges of its own, which Spark can split where an
+    interval is long."""
+    sizes = suffixes.groupBy(*key).agg(F.count("*").alias("_n")).where("_n > 1")
+    return written(running(sizes, [F.col(c) for c in key], "intervals", **{rank: F.col("_n")}).select(*key, rank), "ranks")
+
+
 def without_repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The rows of ``docs`` with three columns more: n_lines (that count), removed (numbers of the
     deleted lines, from 0) and kept (the text without them).
@@ -105,17 +115,15 @@ def without_repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFr
     rows = docs.select("*", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_k"), F.xxhash64("text").alias("_h"), F.coalesce("text", F.lit("")).alias("_text"))
     seq = rows.select(F.col("_k").alias("k"), F.col("_h").alias("h"), F.col("_text").alias("text")).mapInArrow(_scan(min_words), "d1 long, d2 long, k long, h long, i int, w array<int>")
     place = F.struct("k", "h", "i")
-    # Round 0: a line that occurs once is in no repeated run.
-    ids = written(seq.groupBy("d1", "d2").agg(F.min(place).alias("r0"), F.max(place).alias("z")).where("r0 <> z").drop("z"), "lines")
+    # Depth 1: a line that occurs once is in no repeated run.
+    ids = intervals(seq, ["d1", "d2"], "r0")
     live = written(seq.join(ids, ["d1", "d2"]).select("k", "h", "i", "w", "r0").distinct(), "round")
     discard(ids)
     top = live.agg(F.max(F.array_max("w"))).first()[0] or 1
     for a in range(1, top.bit_length()):
         by = Window.partitionBy("k", "h").orderBy("i").rangeBetween(1 << (a - 1), 1 << (a - 1))
         pairs = live.withColumn("r", F.first(f"r{a - 1}").over(by))
-        ranks = pairs.where(f"r{a - 1} is not null and r is not null").groupBy(f"r{a - 1}", "r").agg(F.min(place).alias(f"r{a}"), F.count("*").alias("n")).where("n > 1").drop("n")
-        # Written, so that the join gets exchanges of its own, which Spark can split where a run has many copies.
-        ranks = written(ranks, "ranks")
+        ranks = intervals(pairs.where(f"r{a - 1} is not null and r is not null"), [f"r{a - 1}", "r"], f"r{a}")
         before, live = live, written(pairs.join(ranks, [f"r{a - 1}", "r"], "left").drop("r"), "round")
         discard(before)
         discard(ranks)

@@ -16,12 +16,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilmark.llm.common import parts_for, shielded, written
+from veilmark.llm.common import in_ranges, running, shielded, written
 
 WEIGHTS = (5, 2, 1)
 BUDGET, EPOCHS = 1.5, 2
-#: Rows in a range, about.
-RANGE = 100_000
 
 
 def n_words(text: Column | str) -> Column:
@@ -30,25 +28,6 @@ def n_words(text: Column | str) -> Column:
     return F.coalesce((F.size(parts) - F.when(F.get(parts, F.lit(0)) == "", 1).otherwise(0) - F.when((F.size(parts) > 1) & (F.element_at(parts, -1) == ""), 1).otherwise(0)).cast("long"), F.lit(0).cast("long"))
 
 
-def in_ranges(df: DataFrame, order: list[Column], name: str, **sums: Column) -> tuple[DataFrame, DataFrame, Column]:
-    """``df`` sorted into ranges and written with the number of each row's range (_range); for each range the
-    sums over all ranges before it; and the window of the rows before a row within its range."""
-    n = parts_for(df.sparkSession, df.count(), RANGE)
-    own = written(df.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()).sortWithinPartitions(*order), name)
-    ahead = own.groupBy("_range").agg(*(F.sum(v).alias(k) for k, v in sums.items()))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
-    ahead = ahead.select("_range", *(F.coalesce(F.sum(k).over(before), F.lit(0)).alias(k) for k in sums))
-    return own, ahead, Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-
-
-def running(df: DataFrame, order: list[Column], name: str, **sums: Column) -> DataFrame:
-    """``df`` with sums over all rows that come before each in this order."""
-    own, ahead, within = in_ranges(df, order, name, **sums)
-    inner = own.select("*", *(F.coalesce(F.sum(v).over(within), F.lit(0)).alias(f"_in_{k}") for k, v in sums.items()))
-    out = inner.join(F.broadcast(ahead), "_range")  # a row for each range of RANGE rows
-    return out.select(*df.columns, *((F.col(k) + F.col(f"_in_{k}")).alias(k) for k in sums))
-
-
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, epochs: int = EPOCHS) -> DataFrame:
     """``sizes``: source, source_size; a row for each source. Adds weight, and target: by weight, none above
     ``epochs`` times its size, ``budget`` times all sizes in all."""
