@@ -91,7 +91,7 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
 
     Null text: size 0. Null source: a source, after all others. Null doc_id: as any other. Repeated
     rows: each counts. Empty table: no rows. All sizes 0: targets 0. Extra columns are ignored."""
-    out = tagged(sized(docs), **how)
+    out = tagged(written(sized(docs), "sizes"), **how)  # ranges read their rows twice
     return out.select("doc_id", "size", "source_size", "target", (F.size("copies") * F.col("size")).cast("long").alias("taken"))
 
 
@@ -101,7 +101,7 @@ def mixture(docs: DataFrame, **how) -> DataFrame:
     names are replaced."""
     docs, back = shielded(docs.drop("epoch", "virtual_finish"), "_d", "_s", "_h", "_n", "_m", "weight", "source_size", "before", "size", "copies", "digest")
     keyed = docs.withColumn("digest", F.xxhash64("text"))
-    tags = tagged(sized(docs), **how).where(F.size("copies") > 0).select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("digest").alias("_h"), "size", "weight", "source_size", "before", "copies")
+    tags = tagged(written(sized(docs), "sizes"), **how).where(F.size("copies") > 0).select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("digest").alias("_h"), "size", "weight", "source_size", "before", "copies")
     # Rows alike in all three are told apart by number only where there are several of them.
     tags = written(tags.withColumn("_n", F.row_number().over(Window.partitionBy("_d", "_s", "_h").orderBy("before"))), "tags")
     many = tags.where("_n > 1").limit(1).count() > 0
