@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import math
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -14,6 +17,7 @@ from veilmark.functions.ranges import above, bounds
 #: Rows in a range of a global order, about.
 RANGE = 100_000
 _local: str | None = None
+_open = threading.local()
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -48,9 +52,35 @@ def written(df: DataFrame, name: str) -> DataFrame:
         spark.conf.set(_CLEAN, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._veilmark_path = path
+    if stack := _open.__dict__.get("stack"):
+        stack[-1].append(out)
     return out
 
 
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """What is written inside goes when the block ends, but for what the given function was called with: that goes with
+    the block around it, or stays."""
+    stack = _open.__dict__.setdefault("stack", [])
+    mine: list[DataFrame] = []
+    kept: set[str] = set()
+    stack.append(mine)
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df._veilmark_path)
+        return df
+
+    try:
+        yield keep
+    finally:
+        stack.pop()
+        for df in mine:
+            if df._veilmark_path not in kept:
+                discard(df)
+            elif stack:
+                stack[-1].append(df)
+
+
 def discard(df: DataFrame) -> None:
     """Delete what ``written`` stored, once nothing reads it any more."""
     spark, path = df.sparkSession, df._veilmark_path

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilmark.llm.common import lower_ascii, shielded, written
+from veilmark.llm.common import lower_ascii, scratch, shielded, written
 
 WINDOW, SHINGLE = 10, 5
 #: Of 8 bytes each, with as much again for the hash table.
@@ -133,9 +133,10 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingl
     that bear the new names are replaced."""
     docs, back = shielded(docs.drop("n_words", "n_hit", "items"), "_k", "_h")
     keyed = _keyed(docs)
-    counted, hits = _hits(keyed, items, window, shingle)
     none = F.array().cast("array<string>")
-    facts = written(counted.join(hits, ["_k", "_h"], "left").select("_k", "_h", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", none).alias("items")), "hits")
+    with scratch() as keep:
+        counted, hits = _hits(keyed, items, window, shingle)
+        facts = keep(written(counted.join(hits, ["_k", "_h"], "left").select("_k", "_h", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", none).alias("items")), "hits"))
     return keyed.join(facts, ["_k", "_h"]).select(*docs.columns, "n_words", "n_hit", "items").withColumnsRenamed(back)
 
 
@@ -144,7 +145,8 @@ def decontaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, shin
     meet the texts; Spark broadcasts them if their size allows, and else joins by shuffle."""
     docs, back = shielded(docs, "_k", "_h")
     keyed = _keyed(docs)
-    gone = written(_hits(keyed, items, window, shingle)[1].select("_k", "_h"), "contaminated")
+    with scratch() as keep:
+        gone = keep(written(_hits(keyed, items, window, shingle)[1].select("_k", "_h"), "contaminated"))
     return keyed.join(gone, ["_k", "_h"], "left_anti").drop("_k", "_h").withColumnsRenamed(back)
 
 

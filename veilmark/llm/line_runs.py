@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilmark.llm.common import discard, running, shielded, written
+from veilmark.llm.common import discard, running, scratch, shielded, written
 
 MIN_WORDS = 5
 NO_ID = -(2**63)
@@ -114,30 +114,29 @@ def without_repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFr
     docs, back = shielded(docs.drop("n_lines", "removed", "kept"), "_k", "_h", "_text", "_gone")
     rows = docs.select("*", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_k"), F.xxhash64("text").alias("_h"), F.coalesce("text", F.lit("")).alias("_text"))
     seq = rows.select(F.col("_k").alias("k"), F.col("_h").alias("h"), F.col("_text").alias("text")).mapInArrow(_scan(min_words), "d1 long, d2 long, k long, h long, i int, w array<int>")
-    place = F.struct("k", "h", "i")
-    # Depth 1: a line that occurs once is in no repeated run.
-    ids = intervals(seq, ["d1", "d2"], "r0")
-    live = written(seq.join(ids, ["d1", "d2"]).select("k", "h", "i", "w", "r0").distinct(), "round")
-    discard(ids)
-    top = live.agg(F.max(F.array_max("w"))).first()[0] or 1
-    for a in range(1, top.bit_length()):
-        by = Window.partitionBy("k", "h").orderBy("i").rangeBetween(1 << (a - 1), 1 << (a - 1))
-        pairs = live.withColumn("r", F.first(f"r{a - 1}").over(by))
-        ranks = intervals(pairs.where(f"r{a - 1} is not null and r is not null"), [f"r{a - 1}", "r"], f"r{a}")
-        before, live = live, written(pairs.join(ranks, [f"r{a - 1}", "r"], "left").drop("r"), "round")
-        discard(before)
-        discard(ranks)
-    level = F.floor(F.log2("w")).cast("int")
-    rank = F.coalesce(*(F.when(F.col("a") == a, F.col(f"r{a}")) for a in range(top.bit_length()))) if top > 1 else F.col("r0")
-    starts = live.withColumn("w", F.explode("w")).withColumn("a", level).withColumn("p", rank).where("p is not null")
-    ends = live.select("k", "h", F.col("i").alias("j"), F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.col(f"r{a}").alias("q")) for a in range(top.bit_length())))).alias("x")).select("k", "h", "j", "x.*").where("q is not null")
-    both = starts.withColumn("j", F.expr("cast(i + w - shiftleft(1, a) as int)")).select("k", "h", "i", "w", "a", "j", "p").join(ends, ["k", "h", "j", "a"])
-    both = written(both.select("k", "h", "i", "w", "p", "q"), "runs")
-    discard(live)
-    first = written(both.groupBy("w", "p", "q").agg(F.min(place).alias("f"), F.count("*").alias("n")).where("n > 1").drop("n"), "first")
-    later = written(both.join(first, ["w", "p", "q"]).where(place > F.col("f")).select("k", "h", "i", "w"), "later")
-    discard(both)
-    discard(first)
+    with scratch() as keep:
+        place = F.struct("k", "h", "i")
+        # Depth 1: a line that occurs once is in no repeated run.
+        ids = intervals(seq, ["d1", "d2"], "r0")
+        live = written(seq.join(ids, ["d1", "d2"]).select("k", "h", "i", "w", "r0").distinct(), "round")
+        discard(ids)  # as soon as may be, for less disk
+        top = live.agg(F.max(F.array_max("w"))).first()[0] or 1
+        for a in range(1, top.bit_length()):
+            by = Window.partitionBy("k", "h").orderBy("i").rangeBetween(1 << (a - 1), 1 << (a - 1))
+            pairs = live.withColumn("r", F.first(f"r{a - 1}").over(by))
+            ranks = intervals(pairs.where(f"r{a - 1} is not null and r is not null"), [f"r{a - 1}", "r"], f"r{a}")
+            before, live = live, written(pairs.join(ranks, [f"r{a - 1}", "r"], "left").drop("r"), "round")
+            discard(before)
+            discard(ranks)
+        level = F.floor(F.log2("w")).cast("int")
+        rank = F.coalesce(*(F.when(F.col("a") == a, F.col(f"r{a}")) for a in range(top.bit_length()))) if top > 1 else F.col("r0")
+        starts = live.withColumn("w", F.explode("w")).withColumn("a", level).withColumn("p", rank).where("p is not null")
+        ends = live.select("k", "h", F.col("i").alias("j"), F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.col(f"r{a}").alias("q")) for a in range(top.bit_length())))).alias("x")).select("k", "h", "j", "x.*").where("q is not null")
+        both = starts.withColumn("j", F.expr("cast(i + w - shiftleft(1, a) as int)")).select("k", "h", "i", "w", "a", "j", "p").join(ends, ["k", "h", "j", "a"])
+        both = written(both.select("k", "h", "i", "w", "p", "q"), "runs")
+        discard(live)
+        first = written(both.groupBy("w", "p", "q").agg(F.min(place).alias("f"), F.count("*").alias("n")).where("n > 1").drop("n"), "first")
+        later = keep(written(both.join(first, ["w", "p", "q"]).where(place > F.col("f")).select("k", "h", "i", "w"), "later"))
     gone = later.groupBy("k", "h").agg(F.collect_set(F.array("i", "w")).alias("_gone")).withColumnsRenamed({"k": "_k", "h": "_h"})
     keep = docs.columns
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "n_lines long, removed array<int>, kept string"])

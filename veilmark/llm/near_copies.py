@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilmark.llm.common import shielded, written
+from veilmark.llm.common import scratch, shielded, written
 from veilmark.llm.components import components, local_components
 
 WORDS = 5
@@ -293,13 +293,15 @@ def without_near_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` but for near copies: of each group the row of the least (doc_id, text digest)
     stays, once. Null doc_ids come last. Columns stay as they are."""
     docs, back = shielded(docs, "_h", "_d", "_t")
-    own = written(near_groups(docs.select("doc_id", "text")), "groups")
-    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
-    # Written, so that the join gets exchanges of its own, which Spark can split where a group is large.
-    first = written(own.groupBy("group").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "first")
-    gone = written(own.join(first, "group").where(rank != F.col("first")).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t")).distinct(), "gone")
+    with scratch() as keep:
+        own = written(near_groups(docs.select("doc_id", "text")), "groups")
+        rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
+        # Written, so that the join gets exchanges of its own, which Spark can split where a group is large.
+        first = written(own.groupBy("group").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "first")
+        gone = keep(written(own.join(first, "group").where(rank != F.col("first")).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t")).distinct(), "gone"))
+        repeated = own.groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count() > 0
     keyed = docs.withColumn("_h", F.xxhash64("text"))
     kept = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_t")), "left_anti")
-    if own.groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count():
+    if repeated:
         kept = kept.dropDuplicates(["doc_id", "_h"])  # rows repeated in full
     return kept.drop("_h").withColumnsRenamed(back)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilmark.llm.common import written
+from veilmark.llm.common import scratch, written
 from veilmark.llm.components import components, local_components
 
 #: Variants in a bucket, on average.
@@ -163,9 +163,11 @@ def groups(docs: DataFrame, words: int = 4) -> DataFrame:
 
     A row for each row of ``docs``. Null or blank text: fingerprint zero, linked like any other. Null
     doc_id: stays null and names no component unless nothing else does. Empty table: no rows."""
-    own = written(fingerprints(docs, words), "simhash")
-    fps = written(own.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    part = components(linked_fingerprints(fps.select("fp")))
-    least = fps.join(part, fps.fp == part.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("group"))
-    named = least.groupBy("group").agg(F.min("first").alias("component_id"))
-    return own.join(least.select("fp", "group").join(named, "group"), "fp").select("doc_id", "text_hash", "fp", "group", "component_id")
+    with scratch() as keep:
+        own = keep(written(fingerprints(docs, words), "simhash"))
+        fps = written(own.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+        part = components(linked_fingerprints(fps.select("fp")))
+        least = fps.join(part, fps.fp == part.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("group"))
+        named = least.groupBy("group").agg(F.min("first").alias("component_id"))
+        groups = keep(written(least.select("fp", "group").join(named, "group"), "named"))
+    return own.join(groups, "fp").select("doc_id", "text_hash", "fp", "group", "component_id")

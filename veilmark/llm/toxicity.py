@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilmark.llm.common import shielded, written
+from veilmark.llm.common import scratch, shielded, written
 
 TERM = re.compile(rb"[a-z0-9\x80-\xff]+")
 BITS = 20
@@ -197,8 +197,9 @@ def trained(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Mod
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(some), "doc_id")  # max_rows small rows at most
     once = own.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min_by("text", F.xxhash64("text")).alias("text"))
     sample = once.mapInArrow(_features, "doc_id long, toxic int, n int, data binary")
-    fitted = written(sample.repartition(1).sortWithinPartitions("doc_id").mapInArrow(_fitted, "slot int, weight double, factors binary"), "model")
-    got = fitted.orderBy("slot").toArrow()  # 2^20 slots at most
+    with scratch():
+        fitted = written(sample.repartition(1).sortWithinPartitions("doc_id").mapInArrow(_fitted, "slot int, weight double, factors binary"), "model")
+        got = fitted.orderBy("slot").toArrow()  # 2^20 slots at most
     slots, weights, vectors = (got[c].to_pylist() for c in ("slot", "weight", "factors"))
     bias = weights[0] if weights else fit([], [], np.empty(0)).bias
     return Model(bias, np.array(slots[1:], np.int64), np.array(weights[1:]), np.frombuffer(b"".join(vectors), np.float64).reshape(-1, FACTORS))

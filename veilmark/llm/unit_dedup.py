@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilmark.llm.common import written
+from veilmark.llm.common import scratch, written
 
 #: One code point for one, so that offsets stay those of the text.
 SENTENCE = re.compile(r"([.!?]) ")
@@ -105,10 +105,11 @@ def without_repeated_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataF
     one row once counted; its units meet it in a join that Spark can split."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("k"), F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     found = rows.select("k", "h", "text").mapInArrow(_scan(min_words), "d1 long, d2 long, k long, h long, at long, more array<long>")
-    repeated = written(found.groupBy("d1", "d2").agg(F.min("k").alias("k1"), F.count("*").alias("n")).where("n > 1").drop("n"), "repeated")
-    # The document of the least id keeps the first of its places, any other none.
-    later = found.join(repeated, ["d1", "d2"], "left").select("k", "h", "d1", F.when(F.col("k") > F.col("k1"), F.concat(F.array("at"), "more")).otherwise(F.col("more")).alias("at"))
-    later = written(later.where(F.size("at") > 0).select("k", "h", F.explode("at").alias("at"), "d1").select("k", "h", F.struct("at", "d1").alias("g")), "later")
+    with scratch() as keep:
+        repeated = written(found.groupBy("d1", "d2").agg(F.min("k").alias("k1"), F.count("*").alias("n")).where("n > 1").drop("n"), "repeated")
+        # The document of the least id keeps the first of its places, any other none.
+        later = found.join(repeated, ["d1", "d2"], "left").select("k", "h", "d1", F.when(F.col("k") > F.col("k1"), F.concat(F.array("at"), "more")).otherwise(F.col("more")).alias("at"))
+        later = keep(written(later.where(F.size("at") > 0).select("k", "h", F.explode("at").alias("at"), "d1").select("k", "h", F.struct("at", "d1").alias("g")), "later"))
     gone = later.groupBy("k", "h").agg(F.collect_set("g").alias("gone"))
     return rows.join(gone, ["k", "h"], "left").select("doc_id", "text", "gone").mapInArrow(_cut(min_words), "doc_id long, n_units long, removed array<struct<start:long,stop:long>>, kept string")
 

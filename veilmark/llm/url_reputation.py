@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilmark.llm.common import lower_ascii, written
+from veilmark.llm.common import lower_ascii, scratch, written
 
 #: verdict, host and path.
 RULES = (
@@ -124,7 +124,8 @@ def judged(pages: DataFrame, labels: DataFrame, rules=RULES) -> DataFrame:
     Extra columns are ignored."""
     rows = pages.select("page_id", "url").select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rows = rows.withColumns({"host": F.coalesce("host", F.lit("")), "path": F.coalesce("path", F.lit(""))}).withColumn("site", site_of(F.col("host")))
-    known = reputation(rows.select("page_id", F.col("site").alias("host")), labels).select(F.col("host").alias("site"), "blocked")
+    with scratch() as keep:
+        known = keep(written(reputation(rows.select("page_id", F.col("site").alias("host")), labels).select(F.col("host").alias("site"), "blocked"), "judged"))
     out = rows.join(known, "site", "left").withColumn("r", rule_of(rules))
     return out.select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.coalesce("r.verdict", F.when(F.col("blocked"), "block").otherwise("allow")).alias("verdict"))
 
