@@ -373,6 +373,54 @@ def test_places(spark):
     assert time.time() - start < 10 and spark.range(99).where(ranges.above(F.col("id"), [3, 7, 50]) != F.when(F.col("id") < 3, 0).when(F.col("id") < 7, 1).when(F.col("id") < 50, 2).otherwise(3)).count() == 0
 
 
+def demo_roles():
+    return demo()[1]
+
+
+def test_synthetic_traces_and_command_line(spark, tmp_path):
+    from veilmark.__main__ import main
+
+    rows, how = demo()
+    segments = spark.createDataFrame([(f"adobe_figma_202{i}_t0{i}", *r[1:]) for i in range(3) for r in rows], X.SEGMENT)
+    order = segments.select("trace_id").distinct().withColumn("place", F.substring("trace_id", -1, 1).cast("int"))
+    ground = segments.select("trace_id", F.lit("the Maren Two fixture").alias("alias")).distinct()
+    got = engine.synthetic(segments, ground, order, how, 2).orderBy("trace_id", "step").collect()
+    assert [(r.trace_id, r.step, r.action) for r in got][:5] == [("syn-001", 1, "user"), ("syn-001", 2, "find_fixture call"), ("syn-001", 3, "find_fixture result"), ("syn-001", 4, "assistant"), ("syn-002", 1, "user")]
+    assert got[1].detail == '{"owner": "Calloway Marine", "rate": 21000}' and len(got) == 8 and "Orrin" not in str(got)
+    d = str(tmp_path)
+    R.source_records(segments, "review").coalesce(1).write.json(f"{d}/in")
+    (tmp_path / "ground.json").write_text('{"identities":["the Maren Two fixture"],"party_aliases":[]}')
+    with pytest.raises(SystemExit):
+        main(["synth", "--input", f"{d}/in", "--output", f"{d}/x"])
+    more = ["--ground", f"{d}/ground.json", "--roles", "tests.test_operators:demo_roles"]
+    main(["synth", "--input", f"{d}/in", "--output", f"{d}/synth", "--limit", "2", *more])
+    assert spark.read.json(f"{d}/synth").select("trace_id").distinct().count() == 2
+    one = spark.read.json(f"{d}/in").select("trace_id").first()[0]
+    main(["trace", "--input", f"{d}/in", "--output", f"{d}/trace", "--trace-id", one, *more])
+    assert [r.attempt for r in spark.read.json(f"{d}/trace").orderBy("round").collect()] == ["reidentified", "passed_attack"]
+    for mode in ("original", "redact", "validate"):
+        main([mode, "--input", f"{d}/in", "--output", f"{d}/{mode}"])
+    spark.read.json(f"{d}/in").select("trace_id", F.lit("Type: real calendar date\nGuess: 2024-08-05").alias("text")).write.json(f"{d}/answers")
+    main(["score", "--input", f"{d}/in", "--output", f"{d}/score", "--transformed", f"{d}/redact", "--answers", f"{d}/answers"])
+    assert {(r.accuracy, r.n) for r in spark.read.json(f"{d}/score").collect()} == {(100.0, 3)}
+    done = loop.synthesize(segments, ground, how)
+    assert [tuple(r) for r in loop.summary(done).collect()] == [("passed_attack", None, 3, 6)]
+
+
+def test_caches_by_input(spark, tmp_path):
+    a, b = spark.createDataFrame([(1, "x"), (2, None)], "i int, t string"), spark.createDataFrame([(1, "y")], "i int, t string")
+    made = []
+    for df in (a, b, a.orderBy("i", ascending=False)):
+        got = R.cached(spark, str(tmp_path / "c"), lambda df=df: made.append(1) or df, of=df)
+        assert got.count() == df.count()
+    assert len(made) == 2
+
+
+def test_titles_and_parts(spark):
+    one = spark.range(1).select(text.title(F.lit("o'neill_3rd_édition")).alias("t"), text.detail_parts(F.lit("a\x01b\x01")).alias("p")).first()
+    assert one.t == "O'neill_3rd_édition".replace("_", " ").title() and [tuple(x) for x in one.p] == [("a", False), ("b", True), ("", False)]
+
+
 def test_stream_state_times_out(spark, tmp_path):
     src = str(tmp_path / "in")
     spark.createDataFrame([("t", 1, "a@b.org 2031-01-06"), ("t", 2, None)], STEP).coalesce(1).write.json(src, ignoreNullFields=False)

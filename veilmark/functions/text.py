@@ -5,8 +5,12 @@ Patterns meant for any text are Unicode-aware (``(?U)``); those of the structure
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Stands on both sides of a marked span.
 MARK = "\x01"
@@ -65,8 +69,23 @@ def truthy(json: Column, path: str) -> Column:
     return F.when(~v.isin("", "false", "0", "0.0", "[]", "{}"), v)
 
 
+@F.pandas_udf(StringType())
+def json_text(raw: pd.Series) -> pd.Series:
+    """A JSON value in one form: ASCII, a space after each comma and colon. Nulls stay; what is no JSON stays as it is."""
+
+    def one(t: str | None) -> str | None:
+        try:
+            return None if t is None else json.dumps(json.loads(t))
+        except (ValueError, RecursionError):
+            return t
+
+    return raw.map(one)
+
+
 def call_detail(arguments: Column) -> Column:
-    return clip(F.coalesce(truthy(arguments, "$.query"), truthy(arguments, "$.chunk_id"), arguments))
+    """The query, else the chunk, else all arguments."""
+    named = F.coalesce(truthy(arguments, "$.query"), truthy(arguments, "$.chunk_id"))
+    return clip(F.coalesce(named, json_text(F.when(named.isNull(), F.coalesce(arguments, F.lit("{}"))))))
 
 
 def result_detail(result: Column, tool: Column) -> Column:
@@ -74,11 +93,15 @@ def result_detail(result: Column, tool: Column) -> Column:
     chunks = F.from_json(F.get_json_object(result, "$.results"), "array<struct<chunk_id:string>>")
     top = F.array_join(F.transform(F.slice(F.coalesce(chunks, F.array().cast("array<struct<chunk_id:string>>")), 1, 3), lambda x: x["chunk_id"]), ", ")
     search = F.concat(F.coalesce(F.get_json_object(result, "$.matched_chunks"), F.lit("0")), F.lit(" matches — top: "), top)
-    return clip(F.when(tool == "search_documents", search).otherwise(F.coalesce(F.get_json_object(result, "$.text"), result)))
+    told = F.when(tool == "search_documents", search).otherwise(F.get_json_object(result, "$.text"))
+    return clip(F.coalesce(told, json_text(F.when(told.isNull(), F.coalesce(result, F.lit("{}"))))))
 
 
 def title(snake: Column) -> Column:
-    return F.initcap(F.replace(snake, F.lit("_"), F.lit(" ")))
+    """Spaces for underscores; a letter is upper case unless another stands before it."""
+    letters = F.split(F.replace(snake, F.lit("_"), F.lit(" ")), "")
+    inside = lambda i: F.regexp_like(F.get(letters, i - 1), F.lit(r"\A\p{L}\z"))
+    return F.array_join(F.transform(letters, lambda c, i: F.when(F.coalesce(inside(i), F.lit(False)), F.lower(c)).otherwise(F.upper(c))), "")
 
 
 def case_key(case_id: Column) -> Column:

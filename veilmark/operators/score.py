@@ -95,6 +95,35 @@ def askable(truth: DataFrame) -> DataFrame:
     return truth.join(some, "trace_id", "left_semi")
 
 
+def score_pairs(pairs: DataFrame, truth: DataFrame, adversary: Callable[[DataFrame], DataFrame], judge: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """``pairs``: trace_id, original, transformed. ``truth`` (of the originals): trace_id, category, value. ``adversary``
+    gets trace_id, text (transformed, and nothing else) and labels, the phrases that it is asked for, and
+    returns trace_id and its answer as text. Accuracy as in ``accuracy``: only traces with a category that has
+    a label are asked about, and in those every category counts."""
+    label = F.try_element_at(F.create_map(*(F.lit(x) for kv in CATEGORY_LABEL.items() for x in kv)), F.col("category"))
+    asked = askable(truth.join(pairs.select("trace_id").distinct(), "trace_id", "left_semi").select("trace_id", "category", "value").distinct())
+    labels = asked.select("trace_id", label.alias("label")).where("label is not null").groupBy("trace_id").agg(F.array_sort(F.collect_set("label")).alias("labels"))
+    answers = adversary(pairs.select("trace_id", F.col("transformed").alias("text")).join(labels, "trace_id"))
+    named = F.create_map(*(F.lit(x) for c, p in CATEGORY_LABEL.items() for x in (p.lower(), c)))
+    guesses = parse_answers(answers).select("trace_id", F.try_element_at(named, F.col("label")).alias("category"), "guesses").where("category is not null")
+    return accuracy(hits(asked, guesses, judge))
+
+
+def holding(texts: DataFrame, aliases: DataFrame) -> DataFrame:
+    """``texts``: id, w; ``aliases``: key, a: words, one space between. The pairs of which the text holds the alias, word
+    for word. A text meets an alias only where it has the alias's two rarest neighbours (its one word, if it
+    has no more), so nothing is compared that cannot match; only keys and words are shuffled, and each text once."""
+    wanted = aliases.where("a <> ''").select("key", F.split("a", " ").alias("a"))
+    neighbours = lambda w: F.when(F.size(w) > 1, F.transform(F.slice(w, 1, F.size(w) - 1), lambda x, i: F.concat_ws(" ", x, F.get(w, i + 1)))).otherwise(w)
+    each = wanted.select("key", F.explode(F.array_distinct(neighbours(F.col("a")))).alias("k"))
+    own = texts.select("id", F.split("w", " ").alias("_w")).select("id", F.explode(F.array_distinct(F.concat(neighbours(F.col("_w")), F.slice("_w", -1, 1)))).alias("k"))
+    met = own.join(each.select("k").distinct(), "k", "left_semi")
+    often = met.groupBy("k").agg(F.count("*").alias("n"))
+    rarest = each.join(often, "k").groupBy("key").agg(F.min_by("k", F.struct("n", "k")).alias("k"))
+    may = met.join(rarest, "k").join(wanted.select("key", F.array_join("a", " ").alias("a")), "key").select("id", "key", "a")
+    return texts.select("id", "w").join(may, "id").where(F.contains(F.concat(F.lit(" "), "w", F.lit(" ")), F.concat(F.lit(" "), "a", F.lit(" ")))).select("id", "key")
+
+
 def accuracy(scored: DataFrame) -> DataFrame:
     """100 times hits over truths, in all and by category (null: all); 0 if there are none."""
     per = scored.rollup("category").agg(F.coalesce(F.try_divide(F.sum("hit") * 100, F.count("*")), F.lit(0.0)).alias("accuracy"), F.count("*").alias("n"))

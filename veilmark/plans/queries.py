@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,28 +16,10 @@ from veilmark.operators.loop import Synthesis, published, synthesize
 from veilmark.operators.models import ClueAttacker, PatternRewriter, RuleGenerator, WordListInferrer
 from veilmark.operators.world import WorldRules
 from veilmark.plans import fixtures as X
+from veilmark.plans.registry import ORACLE, QUERIES, case, query, table
 from veilmark.sources import traces as R
 from veilmark.sources.config import ground_of
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 #: What (?U)\\s matches, for a dialect whose \\s is ASCII.
 SPACE = r"[\s\v\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 PHONE = T.DISPLAY_PATTERNS["PHONE"]
@@ -83,19 +64,6 @@ def neutral_call_ids(spark, d):
     return R.event_segments(table(spark, d, "events")).select("trace_id", "pos", "segment_id", "call_id", "kind", "tool_name")
 
 
-@query("""
-SELECT 'conv_' || conv_id AS trace_id, count(*) AS n, count(*) FILTER (WHERE role = 'user') AS n_user, max(turn) + 1 AS last FROM conversations GROUP BY conv_id
-""")
-def record_roundtrip(spark, d):
-    """Export to the source form and import again: nothing of a message is lost."""
-    segments = R.conversation_segments(table(spark, d, "conversations"))
-    ids = segments.select("trace_id", F.concat(F.lit("synthetic_"), F.substring(F.sha2("trace_id", 256), 1, 12), F.lit("_t01")).alias("fresh")).distinct()
-    records = R.source_records(segments, "review_matter")
-    again = R.import_any(records.select(F.to_json(F.struct(*records.columns), {"ignoreNullFields": "false"}).alias("value")))
-    back = again.where("error is null").withColumnRenamed("trace_id", "fresh").join(ids, "fresh")
-    return back.groupBy("trace_id").agg(F.count("*").alias("n"), F.count(F.when(F.col("role") == "user", 1)).alias("n_user"), F.max("pos").cast("long").alias("last"))
-
-
 @query("""
 SELECT 'conv_' || conv_id AS trace_id, '{"trace_id":"conv_' || conv_id || '","segments":[' || string_agg('{"segment_id":"segment_' || lpad(CAST(rn AS VARCHAR), 4, '0') || '","role":"' || role || '","kind":"message","payload":{"text":' || to_json(coalesce(text, '')) || '},"tool_name":null,"call_id":null}', ',' ORDER BY turn) || ']}' AS record
 FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations) GROUP BY conv_id
@@ -159,23 +127,16 @@ def luhn_runs(spark, d):
     return runs.withColumn("valid", T.luhn(F.col("digits")))
 
 
-@query(f"""
-WITH runs AS (
-  SELECT doc_id, r, regexp_replace(run, '[ -]', '', 'g') AS g FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{P.DIGIT_RUN}')) AS run, generate_subscripts(regexp_extract_all(text, '{P.DIGIT_RUN}'), 1) AS r FROM documents WHERE NOT regexp_matches(text, '[A-Za-z]\\d(?:[ -]?\\d){{12,}}|\\d(?:[ -]?\\d){{12,}}[A-Za-z]'))
-), w AS (SELECT doc_id, r, g, n, unnest(range(0, length(g) - n + 1)) AS a FROM (SELECT *, unnest(range(13, least(19, length(g)) + 1)) AS n FROM runs)
-), ok AS (SELECT doc_id, r, n, a, substr(g, a + 1, n) AS card FROM w WHERE {LUHN.format(d="substr(g, a + 1, n)")})
-SELECT doc_id, card FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, r ORDER BY n DESC, a) AS k FROM ok) WHERE k = 1
-""")
+@query()
 def card_window_scan(spark, d):
-    """Cards of documents without a run that touches a letter (those hang on their context)."""
-    glued = r"[A-Za-z]\d(?:[ -]?\d){12,}|\d(?:[ -]?\d){12,}[A-Za-z]"
-    docs = table(spark, d, "documents").where(~F.regexp_like("text", F.lit(glued)))
-    found = docs.where(F.regexp_like("text", F.lit(P.DIGIT_RUN))).select("doc_id", "text", F.explode(P.regex_spans("text")).alias("s")).where("s.category = 'account_number'")
+    """The cards of all documents. Whether a run is a piece of an id hangs on what stands around it, which DuckDB's
+    patterns cannot look at: tested by brute force."""
+    found = table(spark, d, "documents").where(F.regexp_like("text", F.lit(P.DIGIT_RUN))).select("doc_id", "text", F.explode(P.regex_spans("text")).alias("s")).where("s.category = 'account_number'")
     # Spans are of cards only; the text between start and end may hold separators.
     return found.select("doc_id", F.regexp_replace(F.substring("text", F.col("s.start") + 1, F.col("s.end") - F.col("s.start")), "[ -]", "").alias("card"))
 
 
-@query("""SELECT * FROM (VALUES (1, '5-21'), (2, '8-21'), (3, '8-27'), (5, '4-20'), (6, '7-23'), (7, '7-27')) AS t(id, spans)""")
+@case("""SELECT * FROM (VALUES (1, '5-21'), (2, '8-21'), (3, '8-27'), (5, '4-20'), (6, '7-23'), (7, '7-27')) AS t(id, spans)""")
 def card_context(spark, d):
     found = X.CARDS.df(spark).withColumn("s", P.regex_spans("text")).where(F.size("s") > 0)
     return found.select("id", F.array_join(F.transform(F.array_sort("s"), lambda x: F.concat_ws("-", x["start"], x["end"])), ",").alias("spans"))
@@ -234,7 +195,7 @@ def ground_truth_values(spark, d):
     return S.ground_truth(docs.withColumn("category", F.lit("private_phone"))).select(F.col("trace_id").alias("doc_id"), F.array_join("values", "; ").alias("v"))
 
 
-@query("""SELECT * FROM (VALUES ('adobe_figma_2022_t01', '[ORG_1] pays [ORG_2]; [ORG_1]''s [ORG_2], not Adobes'), ('jetblue_spirit_1999_t01', '[ORG_1] and the [ORG_2] of [ORG_1]'), ('cisco_splunk_2023_t02', 'no party'), ('unknown_case_t03', '[ORG_1] grows [ORG_1]')) AS t(trace_id, text)""")
+@case("""SELECT * FROM (VALUES ('adobe_figma_2022_t01', '[ORG_1] pays [ORG_2]; [ORG_1]''s [ORG_2], not Adobes'), ('jetblue_spirit_1999_t01', '[ORG_1] and the [ORG_2] of [ORG_1]'), ('cisco_splunk_2023_t02', 'no party'), ('unknown_case_t03', '[ORG_1] grows [ORG_1]')) AS t(trace_id, text)""")
 def strip_parties(spark, d):
     own = X.TEXTS.df(spark).join(X.DEALS.df(spark), "trace_id")
     return own.select("trace_id", T.strip_parties(F.col("text"), T.parties(T.matter(F.col("case_id"), F.col("workflow")))).alias("text"))
@@ -268,13 +229,6 @@ def trace_violations(spark, d):
     return validate.violations(X.TRACES.df(spark))
 
 
-@query("SELECT NULL::VARCHAR AS trace_id, NULL::BIGINT AS pos, NULL::VARCHAR AS rule WHERE false")
-def conversation_violations(spark, d):
-    """Every conversation is a valid trace."""
-    found = validate.violations(R.conversation_segments(table(spark, d, "conversations")))
-    return found.select("trace_id", F.col("pos").cast("long").alias("pos"), "rule")
-
-
 @query("""
 SELECT event_id, coalesce(list_sort(json_keys(props)) <> ['k'] OR json_type(props, '$.k') NOT IN ('BIGINT', 'UBIGINT'), true) AS bad FROM events
 """)
@@ -290,7 +244,7 @@ def placeholder_profile(spark, d):
     return template.profile(X.TEMPLATES.df(spark)).select("trace_id", F.array_join("placeholders", ",").alias("placeholders"))
 
 
-@query("""SELECT * FROM (VALUES
+@case("""SELECT * FROM (VALUES
   ('t1', 1, '{"text":"Brightwater Freight charters Tern for 21000"}'), ('t1', 2, '{"arguments":{"hire":21000,"note":"signed 2031-01-06"}}'),
   ('t2', 1, '{"result":{"paid":false,"none":null,"text":"false and null and 7.5"}}'), ('t3', 1, '{"text":"nothing to fill"}')) AS t(trace_id, pos, payload)""")
 def fill_world(spark, d):
@@ -299,7 +253,7 @@ def fill_world(spark, d):
     return own.select("trace_id", "pos", F.when(F.col("w").isNull(), F.col("payload_json")).otherwise(template.fill_json(F.col("payload_json"), F.col("w"))).alias("payload"))
 
 
-@query("""SELECT * FROM (VALUES
+@case("""SELECT * FROM (VALUES
   ('late', 'W5', 'SIGNING_DATE<=CLOSING_DATE'), ('late', 'W6', 'SIGNING_DATE<=CLOSING_DATE'), ('off', 'W5', 'SIGNING_DATE'), ('off', 'W5', 'CLOSING_DATE'), ('off', 'W6', 'SIGNING_DATE<=CLOSING_DATE'), ('off', 'W7', 'PRICE'), ('off', 'W8', 'FEE/PRICE'), ('off', 'W9', 'LAW~COURT'),
   ('dear', 'W3', ''), ('dear', 'W7', 'PRICE'), ('dear', 'W8', 'FEE/PRICE'), ('zero', 'W4', 'COURT'), ('zero', 'W7', 'PRICE'), ('zero', 'W8', 'FEE/PRICE'), ('zero', 'W9', 'LAW~COURT')) AS t(trace_id, rule, what)""")
 def world_violations(spark, d):
@@ -319,7 +273,7 @@ def scalar_forms(spark, d):
     return X.SCALARS.df(spark).select("id", "value_json", text.alias("inline"), (F.startswith("value_json", F.lit('"')) & T.iso_date(text).isNotNull()).alias("is_date"), T.json_number(F.col("value_json")).alias("number"))
 
 
-@query("""SELECT * FROM (VALUES (1, NULL), (2, 'fields'), (3, 'type'), (4, 'length'), (5, NULL), (6, 'type'), (7, 'number is not finite'), (8, 'duplicate key')) AS t(id, error)""")
+@case("""SELECT * FROM (VALUES (1, NULL), (2, 'fields'), (3, 'type'), (4, 'length'), (5, NULL), (6, 'type'), (7, 'number is not finite'), (8, 'duplicate key')) AS t(id, error)""")
 def shape_rules(spark, d):
     rows = [(1, '{"a":5}', '{"a":"{{PRICE}}"}'), (2, '{"a":5}', '{"b":5}'), (3, '{"a":5}', '{"a":true}'), (4, '{"a":[1,2]}', '{"a":[1]}'), (5, '{"a":1}', '{"a":2.5}'), (6, '{"a":{}}', '{"a":"{{X}}"}'), (7, '{"a":1}', '{"a":1e999}'), (8, '{"a":1}', '{"a":1,"a":1}')]
     return spark.createDataFrame(rows, "id int, b string, a string").select("id", validate.shape_errors(True)("b", "a").alias("error"))
@@ -402,12 +356,12 @@ def verify_score(spark, d):
     return S.verify_score(_deals(spark))
 
 
-@query("""SELECT * FROM (VALUES ('a1', 'real email address', 'a@x.org; b@x.org; c@x.org'), ('a1', 'real url', 'http://one'), ('a2', 'real phone number', '3'), ('a3', 'real secret or credential value', '')) AS t(trace_id, label, guesses)""")
+@case("""SELECT * FROM (VALUES ('a1', 'real email address', 'a@x.org; b@x.org; c@x.org'), ('a1', 'real url', 'http://one'), ('a2', 'real phone number', '3'), ('a3', 'real secret or credential value', '')) AS t(trace_id, label, guesses)""")
 def parse_answers(spark, d):
     return S.parse_answers(X.ANSWERS.df(spark)).select("trace_id", "label", F.array_join("guesses", "; ").alias("guesses"))
 
 
-@query("""SELECT * FROM (VALUES (1, 'Adobe; Figma', '2022'), (2, '', NULL), (3, '', NULL), (4, 'A', '2021'), (5, '', NULL)) AS t(id, companies, year)""")
+@case("""SELECT * FROM (VALUES (1, 'Adobe; Figma', '2022'), (2, '', NULL), (3, '', NULL), (4, 'A', '2021'), (5, '', NULL)) AS t(id, companies, year)""")
 def parse_attributes(spark, d):
     own = X.RAW_ATTRIBUTES.df(spark).withColumn("a", S.parse_attributes(F.col("answer")))
     return own.select("id", F.array_join("a.companies", "; ").alias("companies"), "a.year")
@@ -417,24 +371,17 @@ _WORDS_SQL = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
 
 
 @query(f"""
-WITH d AS (SELECT doc_id, ' ' || {_WORDS_SQL.format("text")} || ' ' AS w FROM documents), b AS (
-  SELECT item_id, array_to_string(string_split({_WORDS_SQL.format("text")}, ' ')[1:4], ' ') AS a FROM benchmark
-)
+WITH d AS (SELECT doc_id, ' ' || {_WORDS_SQL.format("text")} || ' ' AS w FROM documents), b AS (SELECT item_id, {_WORDS_SQL.format("text")} AS a FROM benchmark)
 SELECT doc_id, item_id FROM d JOIN b ON a <> '' AND contains(w, ' ' || a || ' ')
 """)
 def mentions_exact(spark, d):
-    """Which documents hold the first four words of which item. Blocked by the first two of them, so that
-    nothing is compared that cannot match."""
-    docs = table(spark, d, "documents").select("doc_id", T.ascii_words(F.col("text")).alias("w")).select("doc_id", F.split("w", " ").alias("w"))
-    items = table(spark, d, "benchmark").select("item_id", F.slice(F.split(T.ascii_words(F.col("text")), " "), 1, 4).alias("a")).where("a[0] <> ''")
-    w = F.col("w")
-    pairs = F.when(F.size(w) > 1, F.transform(F.slice(w, 1, F.size(w) - 1), lambda x, i: F.concat_ws(" ", x, F.get(w, i + 1)))).otherwise(w)
-    may = docs.select("doc_id", F.explode(F.array_distinct(F.concat(pairs, F.slice(w, -1, 1)))).alias("k")).join(items.withColumn("k", F.array_join(F.slice("a", 1, 2), " ")), "k").select("doc_id", "item_id", "a").distinct()
-    both = docs.join(may, "doc_id").select("doc_id", "item_id", F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")).alias("t"), F.concat(F.lit(" "), F.array_join("a", " "), F.lit(" ")).alias("a"))
-    return both.where(F.contains("t", F.col("a"))).select("doc_id", "item_id")
-
-
-@query("SELECT * FROM (VALUES (0, true), (1, true), (2, false), (3, false)) AS t(id, named)")
+    """Which documents hold which items, whole."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), T.ascii_words(F.col("text")).alias("w"))
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("key"), T.ascii_words(F.col("text")).alias("a"))
+    return S.holding(docs, items).select(F.col("id").alias("doc_id"), F.col("key").alias("item_id"))
+
+
+@case("SELECT * FROM (VALUES (0, true), (1, true), (2, false), (3, false)) AS t(id, named)")
 def mentions_spaced(spark, d):
     """Word runs that equal an alias however it is spaced."""
     rows = [(0, "at Blue Heron wharf", "BlueHeron"), (1, "Nord-licht, then", "Nordlicht"), (2, "blueherons", "BlueHeron"), (3, "", "x")]
@@ -448,18 +395,18 @@ _MENTIONS = [
 ]
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, {str(ok).lower()}, '{f}')" for i, (_, _, ok, f) in enumerate(_MENTIONS)) + ") AS t(id, named, form)")
+@case("SELECT * FROM (VALUES " + ", ".join(f"({i}, {str(ok).lower()}, '{f}')" for i, (_, _, ok, f) in enumerate(_MENTIONS)) + ") AS t(id, named, form)")
 def mentions_fuzzy(spark, d):
     rows = [(i, t, a) for i, (t, a, _, _) in enumerate(_MENTIONS)]
     return spark.createDataFrame(rows, "id int, t string, a string").select("id", mentions("t", "a").alias("named"), normalize_identity("t").alias("form"))
 
 
-@query("""SELECT * FROM (VALUES ('n1', 1::BIGINT, 'Acme Holdings', 3::BIGINT), ('n1', 2, 'Borealis Systems', 2), ('n2', 1, 'Dune Analytics', 2), ('n2', 2, 'Elm Corp', 2)) AS t(trace_id, rank, name, n)""")
+@case("""SELECT * FROM (VALUES ('n1', 1::BIGINT, 'Acme Holdings', 3::BIGINT), ('n1', 2, 'Borealis Systems', 2), ('n2', 1, 'Dune Analytics', 2), ('n2', 2, 'Elm Corp', 2)) AS t(trace_id, rank, name, n)""")
 def top_parties(spark, d):
     return S.top_names(X.NAMES.df(spark))
 
 
-@query("""SELECT * FROM (VALUES (1, 'Tern and Tern and [PERSON_1]'), (2, 'Gull Tern'), (3, '[ORG_1] stays')) AS t(id, text)""")
+@case("""SELECT * FROM (VALUES (1, 'Tern and Tern and [PERSON_1]'), (2, 'Gull Tern'), (3, '[ORG_1] stays')) AS t(id, text)""")
 def fill_detail(spark, d):
     return X.TOKENS.df(spark).select("id", T.fill_detail(F.col("text"), F.col("guesses")).alias("text"))
 
@@ -472,23 +419,23 @@ def dashboard(spark, d):
     return table(spark, d, "documents").select("doc_id", T.dashboard_clip(F.col("text")).alias("clipped"), T.score_class(s).alias("score_class"), T.dot_class(s).alias("dot"))
 
 
-@query("""SELECT * FROM (VALUES ('private_email', 'EMAIL'), ('employee_id', 'EMPLOYEE_ID'), ('--', 'PII'), ('secret', 'SECRET'), ('a b.c', 'A_B_C')) AS t(category, prefix)""")
+@case("""SELECT * FROM (VALUES ('private_email', 'EMAIL'), ('employee_id', 'EMPLOYEE_ID'), ('--', 'PII'), ('secret', 'SECRET'), ('a b.c', 'A_B_C')) AS t(category, prefix)""")
 def placeholder_prefixes(spark, d):
     return spark.createDataFrame([("private_email",), ("employee_id",), ("--",), ("secret",), ("a b.c",)], "category string").select("category", T.placeholder_prefix(F.col("category")).alias("prefix"))
 
 
-@query("""SELECT * FROM (VALUES ('adobe_figma_2022_t01', 'Adobe / Figma deal; Adobe; Figma'), ('cisco_splunk_2023_t02', 'Cisco / Splunk deal; Cisco; Splunk'), ('unknown_case_t03', 'Green Leaf deal; Green Leaf'), ('jetblue_spirit_1999_t01', 'JetBlue / Spirit deal; JetBlue; Spirit')) AS t(trace_id, aliases)""")
+@case("""SELECT * FROM (VALUES ('adobe_figma_2022_t01', 'Adobe / Figma deal; Adobe; Figma'), ('cisco_splunk_2023_t02', 'Cisco / Splunk deal; Cisco; Splunk'), ('unknown_case_t03', 'Green Leaf deal; Green Leaf'), ('jetblue_spirit_1999_t01', 'JetBlue / Spirit deal; JetBlue; Spirit')) AS t(trace_id, aliases)""")
 def ground_from_cases(spark, d):
     return X.DEALS.df(spark).select("trace_id", F.array_join(ground_of(T.matter(F.col("case_id"), F.col("workflow"))), "; ").alias("aliases"))
 
 
-@query("""SELECT * FROM (VALUES (1, '{"a": 2, "b": null}'), (2, '{"x": [{"k": 1}]}'), (3, '{"a": [1, 2]}')) AS t(id, payload)""")
+@case("""SELECT * FROM (VALUES (1, '{"a": 2, "b": null}'), (2, '{"x": [{"k": 1}]}'), (3, '{"a": [1, 2]}')) AS t(id, payload)""")
 def repair_shapes(spark, d):
     rows = [(1, '{"a":1,"b":null}', '{"a":2,"c":3}'), (2, '{"x":[{"k":0}]}', '{"x":[{"k":1,"z":2}]}'), (3, '{"a":[1]}', '{"a":[1,2]}')]
     return spark.createDataFrame(rows, "id int, b string, a string").select("id", template.repair_shape("b", "a").alias("payload"))
 
 
-@query("""SELECT * FROM (VALUES ('t1', 1, 'text; {{CHARTERER}} charters {{VESSEL}} for {{RATE}}'), ('t1', 2, 'arguments; hire; {{RATE}}; note; signed {{SIGNING_DATE}}'), ('t2', 1, 'result; paid; {{PAID}}; none; {{NOTE}}; text; {{PAID}} and {{NOTE}} and {{RATE}}'), ('t3', 1, 'text; nothing to fill')) AS t(trace_id, pos, texts)""")
+@case("""SELECT * FROM (VALUES ('t1', 1, 'text; {{CHARTERER}} charters {{VESSEL}} for {{RATE}}'), ('t1', 2, 'arguments; hire; {{RATE}}; note; signed {{SIGNING_DATE}}'), ('t2', 1, 'result; paid; {{PAID}}; none; {{NOTE}}; text; {{PAID}} and {{NOTE}} and {{RATE}}'), ('t3', 1, 'text; nothing to fill')) AS t(trace_id, pos, texts)""")
 def payload_leaves(spark, d):
     return X.TEMPLATES.df(spark).select("trace_id", "pos", F.array_join(template.payload_texts("payload_json"), "; ").alias("texts"))
 
@@ -501,7 +448,7 @@ def reference_check(spark, d):
     return validate.reference_violations(own, bad).select("trace_id", F.col("pos").cast("long").alias("pos"), "rule")
 
 
-@query("""SELECT * FROM (VALUES ('t', 'c', 'Vancouver', 0.5::DOUBLE), ('t', 'c', 'Vienna', 1.0), ('t', 'c', 'Rome', 0.0), ('u', 'c', 'Paris', 0.0)) AS t(trace_id, category, value, hit)""")
+@case("""SELECT * FROM (VALUES ('t', 'c', 'Vancouver', 0.5::DOUBLE), ('t', 'c', 'Vienna', 1.0), ('t', 'c', 'Rome', 0.0), ('u', 'c', 'Paris', 0.0)) AS t(trace_id, category, value, hit)""")
 def judged_hits(spark, d):
     """The judge gets only what no guess is close to, and its best verdict counts."""
     truth = spark.createDataFrame([("t", "c", "Vancouver"), ("t", "c", "Vienna"), ("t", "c", "Rome"), ("u", "c", "Paris")], "trace_id string, category string, value string")
@@ -510,7 +457,7 @@ def judged_hits(spark, d):
     return S.hits(truth, guesses, lambda rest: rest.withColumn("verdict", S.verdicts(answer, F.col("guesses"))))
 
 
-@query("""SELECT * FROM (VALUES (1, true), (2, false), (3, true), (4, false)) AS t(id, is_only)""")
+@case("""SELECT * FROM (VALUES (1, true), (2, false), (3, true), (4, false)) AS t(id, is_only)""")
 def only_placeholders(spark, d):
     rows = [(1, "{{A}}, {{B_2}}!"), (2, "{{A}} and more"), (3, "_{{A}}"), (4, "...")]
     return spark.createDataFrame(rows, "id int, s string").select("id", T.only_placeholders(F.col("s")).alias("is_only"))

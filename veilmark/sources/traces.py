@@ -5,6 +5,7 @@ Payloads stay JSON text, so key order, unbounded integers and null fields surviv
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -20,6 +21,10 @@ CANONICAL = f"trace_id string, segments array<struct<{SEGMENT.replace(' ', ':').
 WORKFLOW = "^[a-z][a-z0-9_]{0,63}$"
 
 
+# What the source form says of a trace that nobody recorded.
+NOT_RECORDED, MADE, NOT_RUN = "not recorded for synthetic trace", "synthetic", "not executed; tool records are synthetic"
+
+
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """Source records from JSON lines, with the place of each in its file. Fields without a fixed shape
     (arguments, results) are kept as JSON text."""
@@ -124,13 +129,13 @@ def source_records(segments: DataFrame, workflow: str | None = None, fresh: Colu
     e = source_events(segments, fresh)
     j = F.col("payload_json")
     event = F.struct(
-        "event_id", "sequence", "role", "event_type", F.lit(None).cast("string").alias("timestamp"), F.lit("not recorded for synthetic trace").alias("timestamp_kind"),
+        "event_id", "sequence", "role", "event_type", F.lit(None).cast("string").alias("timestamp"), F.lit(NOT_RECORDED).alias("timestamp_kind"),
         F.get_json_object(j, "$.text").alias("content"), F.lit(None).cast("double").alias("model_latency_ms"), F.lit(None).cast("string").alias("model_token_usage"), "tool_call_id", "tool_name",
         F.get_json_object(j, "$.arguments").alias("arguments"), F.get_json_object(j, "$.result").alias("result"), F.lit(None).cast("double").alias("elapsed_ms"), F.lit(None).cast("string").alias("observed_tool_run_at"),
     )
     provenance = F.struct(
-        F.lit("synthetic agent trace").alias("dataset_kind"), F.lit("synthesis from an abstracted trace").alias("author_attribution"), F.lit("synthetic").alias("conversation_mode"),
-        F.lit("not executed; tool records are synthetic").alias("tool_execution_mode"), F.lit(True).alias("language_model_api_called_at_runtime"), F.lit("no times are recorded").alias("timestamp_policy"),
+        F.lit("veilmark").alias("dataset_kind"), F.lit("veilmark").alias("author_attribution"), F.lit(MADE).alias("conversation_mode"),
+        F.lit(NOT_RUN).alias("tool_execution_mode"), F.lit(True).alias("language_model_api_called_at_runtime"), F.lit("none").alias("timestamp_policy"),
         F.lit(True).alias("fictional_internal_dialogue"), F.lit(False).alias("vendor_internal_log"),
     )
     out = e.groupBy("case_id", "trace_id").agg(F.array_sort(F.collect_list(F.struct("sequence", event.alias("e")))).alias("es"))
@@ -159,9 +164,18 @@ def event_segments(events: DataFrame) -> DataFrame:
     return neutralize(call.unionByName(done))
 
 
-def cached(spark: SparkSession, path: str, build) -> DataFrame:
+def fingerprint(df: DataFrame) -> str:
+    """Says whether two tables hold the same rows, in any order: one pass, and one number to the driver."""
+    plain = df.select(*(F.to_json(F.struct(c)).alias(f"c{i}") for i, c in enumerate(sorted(df.columns))))
+    row = plain.agg(F.count("*"), F.sum(F.xxhash64(*plain.columns).cast("decimal(38,0)")), F.bit_xor(F.xxhash64(F.lit("other"), *plain.columns))).first()
+    return hashlib.sha256(repr((sorted(df.columns), *row)).encode()).hexdigest()[:24]
+
+
+def cached(spark: SparkSession, path: str, build, of: DataFrame | None = None) -> DataFrame:
     """What is stored at ``path``, or else what ``build`` gives, stored there first. The write is atomic per
-    job: a reader sees all or nothing."""
+    job: a reader sees all or nothing. ``of``, the input, makes it one store for each input: what was made of
+    other rows is never given back."""
+    path = path if of is None else f"{path}/{fingerprint(of)}"
     p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
         build().write.mode("overwrite").parquet(path)
