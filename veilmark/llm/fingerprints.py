@@ -28,6 +28,8 @@ _B = np.uint64(0x9E3779B97F4A7C15)
 _M = np.uint64(0xD6E8FEB86659FD93)
 #: Code points worked on at once, so that numpy's arrays stay small.
 CHUNK = 1_000_000
+#: Ranges of doc_id at most.
+RANGES = 100_000
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -150,7 +152,8 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     key = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
-    n = parts_for(spark, rows.agg(F.sum(F.octet_length("text"))).first()[0], 24 << 20)
+    # A task reads its range in stretches, so ranges may grow; what is broadcast is two numbers for each.
+    n = min(RANGES, parts_for(spark, rows.agg(F.sum(F.octet_length("text"))).first()[0], 24 << 20))
     ranges, n = by_ranges(rows, key, n)
     rows = rows.withColumn("b", ranges)
     first = rows.groupBy("b").agg(F.min(key).alias("k"))
