@@ -368,6 +368,12 @@ def test_places(spark):
         got = score.with_place(own, "k", each).orderBy("place").collect()
         assert [r.place for r in got] == list(range(1, len(keys) + 1))
         assert [r.k for r in got] == sorted(keys, key=lambda k: (k is not None, k or 0))
+    grouped = own.withColumn("g", F.when(F.col("i") % 3 > 0, F.col("i") % 3))
+    for each in (100_000, 50):
+        got = score.with_place(grouped, "k", each, "g").collect()
+        for g in (None, 1, 2):
+            mine = sorted((r for r in got if r.g == g), key=lambda r: r.place)
+            assert [r.place for r in mine] == list(range(1, len(mine) + 1)) and [r.k for r in mine] == sorted((r.k for r in mine), key=lambda k: (k is not None, k or 0))
     start = time.time()
     spark.range(10).select(ranges.above(F.col("id"), list(range(0, 80_000, 10)))).collect()
     assert time.time() - start < 10 and spark.range(99).where(ranges.above(F.col("id"), [3, 7, 50]) != F.when(F.col("id") < 3, 0).when(F.col("id") < 7, 1).when(F.col("id") < 50, 2).otherwise(3)).count() == 0

@@ -73,7 +73,9 @@ def hits(truth: DataFrame, guesses: DataFrame, judge: Callable[[DataFrame], Data
     guess is close to (trace_id, category, value, guesses) and returns them with a column ``verdict``."""
     both = truth.join(guesses, ["trace_id", "category"], "left")
     each = both.select("trace_id", "category", "value", F.explode_outer("guesses").alias("g"))
-    close = F.when(jaro_winkler(F.lower(F.trim("g")), F.lower("value")) > CLOSE, 1.0).otherwise(0.0)
+    # What is ten times as long cannot be close, and is not looked at letter by letter.
+    near = F.least(F.length("g"), F.length("value")) * 10 > F.greatest(F.length(F.trim("g")), F.length("value"))
+    close = F.when(jaro_winkler(F.when(near, F.lower(F.trim("g"))), F.lower("value")) > CLOSE, 1.0).otherwise(0.0)
     best = each.withColumn("c", F.when(F.col("g").isNotNull(), close).otherwise(0.0)).groupBy("trace_id", "category", "value").agg(F.max("c").alias("hit"))
     if judge is None:
         return best
@@ -161,16 +163,19 @@ def pair_by_source(originals: DataFrame, synthetic: DataFrame) -> DataFrame:
     return synthetic.select("trace_id", "source_id", F.col("text").alias("transformed")).join(o, "source_id")
 
 
-def with_place(df: DataFrame, key: str, each: int = 100_000) -> DataFrame:
-    """Places 1, 2, ... in order of a whole-number key, nulls first, without one task that holds all rows: ranges of
-    about ``each`` rows, and in each a row's rank and the rows of the ranges before it. Equal keys share a range."""
-    k = F.col(key).cast("long")
+def with_place(df: DataFrame, key: str, each: int = 100_000, group: str | None = None) -> DataFrame:
+    """Places 1, 2, ... in order of a whole-number key, nulls first, in all or within each group (null is one), without
+    one task that holds all rows of either: ranges of about ``each`` rows, and in each a row's rank and the
+    rows of the ranges before it. Equal keys share a range."""
+    k, own = F.col(key).cast("long"), F.col(group) if group else F.lit(0)
     cuts = bounds(df.where(k.isNotNull()), k, df.count() // each + 1)
     rows = df.withColumn("_s", F.when(k.isNull(), F.lit(-1)).otherwise(above(k, cuts)))
-    counts = rows.groupBy("_s").agg(F.count("*").alias("_c"))
-    before = counts.select("_s", F.coalesce(F.sum("_c").over(Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))  # a row for each range
-    rank = F.row_number().over(Window.partitionBy("_s").orderBy(key))
-    return rows.withColumn("_r", rank).join(F.broadcast(before), "_s").withColumn("place", F.col("_b") + F.col("_r")).drop("_s", "_r", "_b")
+    counts = rows.groupBy(own.alias("_g"), F.col("_s").alias("_t")).agg(F.count("*").alias("_c"))
+    ahead = Window.partitionBy("_g").orderBy("_t").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    before = counts.select("_g", "_t", F.coalesce(F.sum("_c").over(ahead), F.lit(0)).alias("_b"))
+    rank = F.row_number().over(Window.partitionBy(*([group] if group else []), "_s").orderBy(key))
+    out = rows.withColumn("_r", rank).join(before, own.eqNullSafe(F.col("_g")) & (F.col("_s") == F.col("_t")))
+    return out.withColumn("place", F.col("_b") + F.col("_r")).drop("_s", "_r", "_b", "_g", "_t")
 
 
 def pair_by_place(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -181,8 +186,8 @@ def pair_by_place(left: DataFrame, right: DataFrame) -> DataFrame:
 def round_robin(records: DataFrame, group: str, pos: str) -> DataFrame:
     """Adds turn and group_first: ordered by both, the first record of each group comes before any second, and
     groups come in order of first appearance."""
-    by = Window.partitionBy(group)
-    return records.withColumn("turn", F.row_number().over(by.orderBy(pos))).withColumn("group_first", F.min(pos).over(by))
+    first = records.groupBy(F.col(group).alias("_group")).agg(F.min(pos).alias("group_first"))
+    return with_place(records, pos, group=group).withColumnRenamed("place", "turn").join(first, F.col(group).eqNullSafe(F.col("_group"))).drop("_group")
 
 
 def top_names(texts: DataFrame, most: int = 2) -> DataFrame:
