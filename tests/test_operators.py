@@ -14,7 +14,7 @@ from veilmark.functions import json_values as J
 from veilmark.functions import ranges, text
 from veilmark.functions.match import Aliases, jaro_winkler_of, names, normal_form
 from veilmark.functions.trace_rules import Segment, trace_error
-from veilmark.operators import loop, score, spans, template, validate
+from veilmark.operators import calls, loop, score, spans, template, validate, world
 from veilmark.operators.models import Hint, Inference, ModelError, PatternRewriter, Report, RuleGenerator, WordListInferrer
 from veilmark.operators.score import verdicts
 from veilmark.operators.world import WorldRules
@@ -427,6 +427,39 @@ def test_titles_and_parts(spark):
     assert one.t == "O'neill_3rd_édition".replace("_", " ").title() and [tuple(x) for x in one.p] == [("a", False), ("b", True), ("", False)]
 
 
+def test_profiles_are_checked(spark):
+    own = X.TEMPLATES.df(spark)
+    right = template.profile(own)
+    wrong = right.withColumn("placeholders", F.when(F.col("trace_id") == "t1", F.array(F.lit("RATE"))).otherwise(F.col("placeholders")))
+    worlds = X.WORLDS.df(spark)
+    assert world.violations(worlds, right, segments=own).count() == 0
+    assert {(r.trace_id, r.rule) for r in world.violations(worlds, wrong, segments=own).collect()} == {("t1", "W1"), ("t1", "W3")}
+
+
+def test_calls(spark):
+    def factory():
+        count = {"n": 0}
+
+        def client(prompt):
+            count["n"] += 1
+            if prompt == "never" or prompt == "once" and count["n"] % 2:
+                raise OSError("down")
+            return '{"answer": "' + prompt + '"}' if prompt != "odd" else '{"other": 1}'
+
+        return client
+
+    rows = spark.createDataFrame([(1, "a"), (2, None), (3, "a"), (4, "b")], "i int, p string").withColumn("said", F.lit("old"))
+    got = {r.i: r.said for r in calls.asked(rows, "p", "said", factory, calls.exact_fields({"answer"})).collect()}
+    assert got == {1: '{"answer": "a"}', 2: None, 3: '{"answer": "a"}', 4: '{"answer": "b"}'}
+    bad = spark.createDataFrame([(1, "odd"), (2, "never"), (3, "a")], "i int, p string").coalesce(1)
+    assert {r.i: r.said is None for r in calls.asked(bad, "p", "said", factory, calls.exact_fields({"answer"}), 3, True).collect()} == {1: True, 2: True, 3: False}
+    with pytest.raises(ModelError) as e:
+        calls.answered(factory(), "never", tries=2)
+    assert "never" not in str(e.value) and calls.answered(factory(), "once", tries=2) == '{"answer": "once"}'
+    with pytest.raises(Exception):
+        calls.asked(bad, "p", "said", factory).collect()
+
+
 def test_stream_state_times_out(spark, tmp_path):
     src = str(tmp_path / "in")
     spark.createDataFrame([("t", 1, "a@b.org 2031-01-06"), ("t", 2, None)], STEP).coalesce(1).write.json(src, ignoreNullFields=False)

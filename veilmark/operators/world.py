@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilmark.functions.text import inline_scalar, iso_date, json_number
+from veilmark.operators.template import profile
 
 
 @dataclass(frozen=True)
@@ -25,9 +26,18 @@ DATES = ("SIGNING_DATE", "CLOSING_DATE", "TERMINATION_DATE")
 DATE_ORDERS = (("SIGNING_DATE", "CLOSING_DATE"), ("SIGNING_DATE", "TERMINATION_DATE"))
 
 
-def violations(worlds: DataFrame, profiles: DataFrame, rules: WorldRules = WorldRules()) -> DataFrame:
+def profile_violations(profiles: DataFrame, segments: DataFrame) -> DataFrame:
+    """W1: profiles (trace_id, placeholders) that are not those of their segments (trace_id, payload_json)."""
+    own = profile(segments).withColumnRenamed("placeholders", "_own")
+    none = F.array().cast("array<string>")
+    differs = F.coalesce("placeholders", none) != F.coalesce("_own", none)
+    return profiles.join(own, "trace_id", "left").where(differs).select("trace_id", F.lit("W1").alias("rule"), F.lit("").alias("what"))
+
+
+def violations(worlds: DataFrame, profiles: DataFrame, rules: WorldRules = WorldRules(), segments: DataFrame | None = None) -> DataFrame:
     """``worlds``: trace_id, key, value_json. ``profiles``: trace_id, placeholders. Returns trace_id, rule and what
-    (key or keys) of each violation. A rule about a key that a trace does not bind is violated there."""
+    (key or keys) of each violation. A rule about a key that a trace does not bind is violated there. With
+    ``segments`` the profiles themselves are checked, too."""
     w = worlds.select("trace_id", "key", "value_json")
     text = F.col("value_json")
     scalar = F.regexp_like(text, F.lit(r'^("|-?\d|true$|false$|null$)'))
@@ -64,4 +74,5 @@ def violations(worlds: DataFrame, profiles: DataFrame, rules: WorldRules = World
             one = one | ((inline_scalar(get(a)) == x) & (inline_scalar(get(b)) == y))
         bad.append(("W9", f"{a}~{b}", ~F.coalesce(one, F.lit(False))))
     across = maps.select("trace_id", F.explode(F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit(False)), F.struct(F.lit(r).alias("rule"), F.lit(what).alias("what"))) for r, what, c in bad)))).alias("v")).select("trace_id", "v.*")
-    return own.unionByName(across)
+    out = own.unionByName(across)
+    return out if segments is None else out.unionByName(profile_violations(profiles, segments))
