@@ -76,7 +76,7 @@ class Model:
         for w in own:
             cols = known.get(w)
             if cols is None:
-                if len(known) > 500_000:
+                if len(known) > 200_000:
                     known.clear()
                 cols = known[w] = tuple(of[h] for h in hashed(w) if h in of)
             if cols:
