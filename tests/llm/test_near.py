@@ -122,3 +122,45 @@ def test_only_what_is_alike_is_linked(spark, block, monkeypatch):
     group = {r.doc_id: r.group for r in near_copies.near_groups(own).collect()}
     assert sum(group[10 * i] == group[10 * i + 1] for i in range(40)) >= 37
     assert len(set(group.values())) == 200 - sum(group[10 * i] == group[10 * i + 1] for i in range(40))
+
+
+def test_few_buckets_get_a_fingerprint():
+    """At a size where buckets are 256: of each of the six, 37 get it, and all that meet meet there."""
+    fps = np.random.default_rng(7).integers(0, 1 << 63, (500, 3), np.uint64)
+    batch = pa.RecordBatch.from_pydict({"fp": pa.array([f.tobytes() for f in fps], pa.binary())})
+    sent = sum(len(d) for b in near_copies._dealt(8)([batch]) for d in b["data"].to_pylist())
+    assert sent <= len(fps) * near_copies.PARTS * 37 * 24
+
+
+@pytest.mark.parametrize("bucket, round_", [(near_copies.BUCKET, near_copies.ROUND), (20_000, near_copies.ROUND), (20_000, 1), (3000, 60_000)])
+def test_candidates_match_brute_force(spark, bucket, round_, monkeypatch):
+    """One bucket and many, one round and several, values of a dense group in slices."""
+    rng = np.random.default_rng(9)
+    fps = rng.integers(0, 1 << 63, (60, 3), np.uint64)
+    near = [fps[i // 4].copy() for i in range(120)] + [fps[0].copy() for _ in range(60)]
+    for i, f in enumerate(near):
+        for b in rng.choice(192, 8 + i % 40, replace=False).tolist():
+            f[b // 64] ^= np.uint64(1 << (b % 64))
+    fps = np.unique(np.concatenate([fps, np.array(near)]), axis=0)
+    words = np.ascontiguousarray(fps).view("<u4")
+    apart = np.bitwise_count(words[:, None] ^ words[None])
+    linked = (apart.min(axis=2) <= near_copies.RADIUS) & (apart.sum(axis=2) <= near_copies.LIMIT)
+    want = near_copies.local_components(len(fps), *np.nonzero(linked)).tolist()
+    monkeypatch.setattr(near_copies, "BUCKET", bucket)
+    monkeypatch.setattr(near_copies, "ROUND", round_)
+    df = spark.createDataFrame([(bytearray(f.tobytes()),) for f in fps], "fp binary")
+    part = {r.node: r.component for r in components(near_copies._candidates(df, len(fps))).collect()}
+    ids = near_copies._ids(fps).tolist()
+    got = [part.get(i, i) for i in ids]
+    assert 20 < len(set(want)) < len(fps) - 50
+    assert [got.index(c) for c in got] == [want.index(c) for c in want]
+
+
+def test_slices_hold_every_variant_once(monkeypatch):
+    monkeypatch.setattr(near_copies, "BUCKET", 100)
+    value = np.random.default_rng(4).integers(0, 1 << 32, 50, np.uint64)
+    fits = [(np.arange(30), near_copies.MASKS[:40]), (np.arange(30, 50), near_copies.MASKS[40:])]
+    slices = [sorted((int(r), int(value[r] ^ x)) for i, m in some for r in i for x in m) for some in near_copies._slices(value, fits)]
+    assert len(slices) > 30 and sorted(v for s in slices for v in s) == sorted((int(r), int(value[r] ^ x)) for i, m in fits for r in i for x in m)
+    values = [{v for _, v in s} for s in slices]
+    assert sum(map(len, values)) == len(set().union(*values))

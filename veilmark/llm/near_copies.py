@@ -6,7 +6,9 @@ bits. Two texts are candidates if in any of the six they differ in at most 4 bit
 emits all 529 values within 2 bits, and equal values meet, as in ``simhash``. Those that
 meet are candidates if they are within a loose bound on all 192 bits together. All members of a value are
 compared, in blocks. Groups are spread over buckets by a linear map, and a bucket sends one link for each
-member at most.
+member at most. Each bit of a bucket's number sums up bits of its own, so that two flips reach few buckets: of
+2^b, 1 + b + b(b-1)/2 get a fingerprint. What would be over ``ROUND`` bytes is sent in rounds, down to one
+fingerprint of the six in each, and what a round has sent goes before the next.
 
 What candidates connect is a loose component. Within each, all pairs of texts are compared exactly, on
 their sets of shingles, and only a similarity of 0.8 or more links. A large component is cut into blocks,
@@ -34,6 +36,8 @@ WORDS = 5
 #: Fingerprints of 32 bits, bits within which two meet, and bits of all 192 within which a pair is a candidate.
 PARTS, RADIUS, LIMIT = 6, 4, 45
 BUCKET = 8 << 20
+#: Bytes that a round sends to buckets, if that is several of the six.
+ROUND = 1 << 30
 #: Pairs of fingerprints that are compared at once.
 PAIRS = 1 << 20
 #: Bytes of text in a block of a loose component, bytes that a text counts as at least, and columns of a product.
@@ -76,8 +80,17 @@ def _hashed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_hash"], batch["n"], pa.array(ids, pa.int64()), pa.array(fp, pa.binary())], ["doc_id", "text_hash", "n", "id", "fp"])
 
 
-def _syndrome(x: np.ndarray, bits: int) -> np.ndarray:
-    rows = np.random.default_rng(32).integers(1, 1 << 32, bits, np.uint64)
+def _own_rows(bits: int) -> list[np.uint64]:
+    """The map to buckets: no two bits of a bucket's number depend on one bit of the fingerprint."""
+    return [np.uint64(sum(1 << j for j in range(i, 32, bits))) for i in range(bits)]
+
+
+def _mixed_rows(bits: int) -> list[np.uint64]:
+    """A map that spreads the values of a dense group evenly."""
+    return list(np.random.default_rng(32).integers(1, 1 << 32, bits, np.uint64))
+
+
+def _syndrome(x: np.ndarray, rows: list[np.uint64]) -> np.ndarray:
     out = np.zeros(len(x), np.int64)
     for i, r in enumerate(rows):
         out |= (np.bitwise_count(x & r) & 1).astype(np.int64) << i
@@ -89,8 +102,12 @@ def _parts(fp: np.ndarray) -> np.ndarray:
     return fp.view("<u4").reshape(len(fp), PARTS).astype(np.uint64)
 
 
-def _dealt(bits: int):
-    moves = np.unique(_syndrome(MASKS, bits))
+def _moves(bits: int) -> np.ndarray:
+    return np.unique(_syndrome(MASKS, _own_rows(bits)))
+
+
+def _dealt(bits: int, chosen: range = range(PARTS)):
+    own_rows, moves = _own_rows(bits), _moves(bits)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -99,8 +116,8 @@ def _dealt(bits: int):
             for at in range(0, len(all_), step):
                 fp = np.ascontiguousarray(all_[at : at + step])
                 parts = _parts(fp)
-                for j in range(PARTS):
-                    to = (_syndrome(parts[:, j], bits)[:, None] ^ moves).ravel()
+                for j in chosen:
+                    to = (_syndrome(parts[:, j], own_rows)[:, None] ^ moves).ravel()
                     order = np.argsort(to, kind="stable")
                     cuts = np.flatnonzero(np.diff(to[order])) + 1
                     rows = np.split(np.repeat(fp, len(moves), axis=0)[order], cuts)
@@ -115,7 +132,8 @@ def _ids(fp: np.ndarray) -> np.ndarray:
 
 
 def _linked(bits: int):
-    of = _syndrome(MASKS, bits)
+    rows = _own_rows(bits)
+    of = _syndrome(MASKS, rows)
     masks = {s: MASKS[of == s] for s in np.unique(of).tolist()}
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,37 +151,54 @@ def _linked(bits: int):
             fp = np.frombuffer(b"".join(blobs), np.uint64).reshape(-1, 3)
             part, own_bucket = bucket >> bits, bucket & ((1 << bits) - 1)
             value = _parts(np.ascontiguousarray(fp))[:, part]
-            own = _syndrome(value, bits)
+            own = _syndrome(value, rows)
             fits = [(np.flatnonzero(own == s), m) for s in np.unique(own).tolist() if (m := masks.get(s ^ own_bucket)) is not None]
-            # A value above, the number of its fingerprint below: one sort brings equals together.
-            all_, at = np.empty(sum(len(i) * len(m) for i, m in fits), np.uint64), 0
-            for i, m in fits:
-                to = all_[at : at + len(i) * len(m)].reshape(len(i), len(m))
-                np.bitwise_xor(value[i][:, None], m, out=to)
-                np.left_shift(to, np.uint64(32), out=to)
-                np.bitwise_or(to, i.astype(np.uint64)[:, None], out=to)
-                at += to.size
-            all_.sort()
-            # Only what meets something is looked at further; in stretches, for less memory.
-            same = [np.flatnonzero(all_[a + 1 : a + PAIRS + 1] >> np.uint64(32) == all_[a : a + len(all_[a + 1 : a + PAIRS + 1])] >> np.uint64(32)) + a + 1 for a in range(0, len(all_), PAIRS)]
-            same = np.concatenate(same) if same else np.empty(0, np.int64)
-            met = np.union1d(same, same - 1)
-            i, top = (all_[met] & np.uint64(0xFFFFFFFF)).astype(np.int64), all_[met] >> np.uint64(32)
-            del all_
-            new = np.append(True, top[1:] != top[:-1])[: len(top)]
-            label = _tied(i, new, fp)
+            label = np.arange(len(fp))
+            for some in _slices(value, fits):
+                label = _tied(*_meeting(value, some), fp, label)
             tied = np.flatnonzero(label != np.arange(len(fp)))
             yield pa.RecordBatch.from_arrays([pa.array(_ids(fp[tied])), pa.array(_ids(fp[label[tied]]))], ["u", "v"])
 
     return run
 
 
-def _tied(i: np.ndarray, new: np.ndarray, fp: np.ndarray) -> np.ndarray:
-    """Components of the rows of ``fp`` under: in one value, and within ``LIMIT`` bits of all.
+def _slices(value: np.ndarray, fits: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[list[tuple[np.ndarray, np.ndarray]]]:
+    """``fits`` (rows, and the masks that each of them gets) by slices of the values that come of it, where they are far over
+    ``BUCKET``, as a dense group's may be. Equal values are in one slice."""
+    n = sum(len(i) * len(m) for i, m in fits)
+    extra = _mixed_rows(max(0, int(np.ceil(np.log2(max(1, n) / (2 * BUCKET))))))
+    if not extra:
+        yield fits
+        return
+    of = [(i, _syndrome(value[i], extra), m, _syndrome(m, extra)) for i, m in fits]
+    for s in range(1 << len(extra)):
+        yield [(i[a == s ^ g], m[b == g]) for i, a, m, b in of for g in np.unique(b).tolist()]
+
+
+def _meeting(value: np.ndarray, fits: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The members of each value that several have, after one another, and: is it the first of its value?"""
+    # A value above, the number of its fingerprint below: one sort brings equals together.
+    all_, at = np.empty(sum(len(i) * len(m) for i, m in fits), np.uint64), 0
+    for i, m in fits:
+        to = all_[at : at + len(i) * len(m)].reshape(len(i), len(m))
+        np.bitwise_xor(value[i][:, None], m, out=to)
+        np.left_shift(to, np.uint64(32), out=to)
+        np.bitwise_or(to, i.astype(np.uint64)[:, None], out=to)
+        at += to.size
+    all_.sort()
+    # Only what meets something is looked at further; in stretches, for less memory.
+    same = [np.flatnonzero(all_[a + 1 : a + PAIRS + 1] >> np.uint64(32) == all_[a : a + len(all_[a + 1 : a + PAIRS + 1])] >> np.uint64(32)) + a + 1 for a in range(0, len(all_), PAIRS)]
+    same = np.concatenate(same) if same else np.empty(0, np.int64)
+    met = np.union1d(same, same - 1)
+    i, top = (all_[met] & np.uint64(0xFFFFFFFF)).astype(np.int64), all_[met] >> np.uint64(32)
+    return i, np.append(True, top[1:] != top[:-1])[: len(top)]
+
+
+def _tied(i: np.ndarray, new: np.ndarray, fp: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Components of the rows of ``fp`` under: in one value, and within ``LIMIT`` bits of all; and those of ``label``.
 
     ``i``: the members of each value after one another; ``new``: is it the first of its value? All members
     of a value are compared, but for those that are in one component already."""
-    label = np.arange(len(fp))
 
     def tie(u: np.ndarray, v: np.ndarray) -> None:
         nonlocal label
@@ -261,6 +296,21 @@ def _compared(held: list[tuple[int, int, bytes]]) -> list[tuple[int, int]]:
     return [(ids[i], ids[j]) for i, j in enumerate(label.tolist()) if i != j]
 
 
+def _candidates(fps: DataFrame, n: int) -> DataFrame:
+    """Links (u, v) between ``n`` fingerprints (fp). What is sent to buckets is on disk for one round at a time."""
+    bits = min(32, max(2, int(np.ceil(np.log2(max(1.0, n * len(MASKS) / BUCKET))))))
+    each = min(PARTS, max(1, ROUND // max(1, n * len(_moves(bits)) * 8 * (PARTS // 2))))
+    out = None
+    for first in range(0, PARTS, each):
+        parts = range(first, min(PARTS, first + each))
+        dealt = fps.mapInArrow(_dealt(bits, parts), "bucket int, data binary").repartitionById(len(parts) << bits, F.col("bucket") - F.lit(first << bits)).sortWithinPartitions("bucket")
+        links = dealt.mapInArrow(_linked(bits), "u long, v long")
+        if each < PARTS:
+            links = written(links.distinct(), "links")
+        out = links if out is None else out.unionByName(links)
+    return out
+
+
 def near_groups(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash and group of each row of ``docs``: what is linked has one group.
 
@@ -269,9 +319,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.octet_length("text").alias("n"), "text")
     own = written(docs.mapInArrow(_hashed, "doc_id long, text_hash long, n int, id long, fp binary"), "near")
     fps = written(own.select("id", "fp").distinct(), "distinct")
-    bits = max(2, int(np.ceil(np.log2(max(1.0, fps.count() * len(MASKS) / BUCKET)))))
-    dealt = fps.select("fp").mapInArrow(_dealt(bits), "bucket int, data binary").repartitionById(PARTS << bits, F.col("bucket")).sortWithinPartitions("bucket")
-    part = components(dealt.mapInArrow(_linked(bits), "u long, v long"))
+    part = components(_candidates(fps.select("fp"), fps.count()))
     # One row of each text, and those of loose components with several texts dealt to blocks.
     once = own.groupBy("text_hash", "id").agg(F.min("doc_id").alias("doc_id"), F.greatest(F.max("n"), F.lit(LEAST)).alias("n"))
     texts = written(once.join(part, once.id == part.node, "left").select("text_hash", "doc_id", "n", F.coalesce("component", "id").alias("comp")), "texts")
