@@ -83,6 +83,54 @@ def test_units_of_one_id_stay_in_their_rows(spark):
     assert got == {(5, 2): line + "\n", (5, 1): "a" * len(line) + "\n" + line, (6, 1): ""}
 
 
+def test_runs_of_short_units_go(spark):
+    """54 words in sentences of nine, set between other words: no unit counts by itself, their runs do."""
+    passage = " ".join(prose(50 + i, 9) + "." for i in range(6))
+    rows = [(i, f"{prose(100 + i, 8)}. {passage} {prose(200 + i, 8)}.\n{prose(300 + i, 9)}.", None, None, None) for i in range(3)]
+    own = docs(spark, rows)
+    assert all(r.kept == rows[r.doc_id][1] for r in unit_dedup.without_repeated_units(own).collect())
+    got = {r.doc_id: r.kept for r in unit_dedup.without_repeated_units(own, runs=True).collect()}
+    assert got == {0: rows[0][1]} | {i: rows[i][1].replace(passage + " ", "") for i in (1, 2)}
+    once = "a. " * 12
+    got = {r.doc_id: r.kept for r in unit_dedup.without_repeated_units(docs(spark, [(d, "a. " * 100, None, None, None) for d in (1, 2)]), runs=True).collect()}
+    assert got == {1: once, 2: ""}
+
+
+def passages_brute(rows, least):
+    places, out = {}, {}
+    for d, t in rows:
+        own, at = [], 0
+        for u in t.replace(". ", ".\n").split("\n"):
+            if u.strip():
+                own.append((at, at + len(u), tuple(u.lower().split())))
+            at += len(u) + 1
+        for i in range(len(own)):
+            for j in range(i + 1, len(own) + 1):
+                if sum(len(u[2]) for u in own[i:j]) >= least:
+                    places.setdefault(tuple(u[2] for u in own[i:j]), []).append((d, own[i][0], own[j - 1][1]))
+                    break
+    gone = {d: set() for d, _ in rows}
+    for found in places.values():
+        d0, _, stop0 = min(found)
+        for d, start, stop in found:
+            if d > d0 or start >= stop0:
+                gone[d] |= set(range(start, stop + 1))
+    for d, t in rows:
+        out[d] = "".join(c for i, c in enumerate(t) if i not in gone[d])
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_runs_of_units_match_brute_force(spark, seed):
+    rng = random.Random(seed)
+    pool = [prose(i, rng.randrange(1, 9)) for i in range(6)] + ["", "  ", prose(9, 14).upper()]
+    rows = [(i, "".join(rng.choice(pool) + rng.choice([". ", "\n"]) for _ in range(rng.randrange(1, 20))), None, None, None) for i in range(30)]
+    got = {r.doc_id: r for r in unit_dedup.without_repeated_units(docs(spark, rows), 10, runs=True).collect()}
+    assert {d: r.kept for d, r in got.items()} == passages_brute([r[:2] for r in rows], 10)
+    assert all(a.stop < b.start for r in got.values() for a, b in zip(r.removed, r.removed[1:]))
+    assert unit_dedup.without_repeated_units(crowded(docs(spark)), runs=True).count() == len(awkward())
+
+
 def test_very_long_text_and_hot_id(spark):
     """A text of nearly two million characters, and an id that holds nearly all rows, in each of the three operators."""
     long = "\n".join(prose(i, 30) for i in range(9000))
