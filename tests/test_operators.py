@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from veilmark import engine
 from veilmark.functions import json_values as J
-from veilmark.functions import ranges, text
+from veilmark.functions import match, ranges, text
 from veilmark.functions.match import Aliases, jaro_winkler_of, names, normal_form
 from veilmark.functions.trace_rules import Segment, trace_error
 from veilmark.operators import calls, loop, score, spans, template, validate, world
@@ -379,6 +379,22 @@ def test_places(spark):
     assert time.time() - start < 10 and spark.range(99).where(ranges.above(F.col("id"), [3, 7, 50]) != F.when(F.col("id") < 3, 0).when(F.col("id") < 7, 1).when(F.col("id") < 50, 2).otherwise(3)).count() == 0
 
 
+def test_misspelt_names_are_inferred_and_rewritten():
+    assert Aliases(["Blue Heron"]).written("A Blue Herron, a BlueHeron,\nbluë\nheron; blue heroes") == ["Blue Herron", "BlueHeron", "bluë\nheron"]
+    assert match.respelt("Blue Heron blue  heron", ("Blue Heron", "Nordlicht")) == {"Blue Heron": ("blue  heron",)} and match.respelt("neither", ("Blue Heron",)) == {}
+    words = ["\ufb01ne ½ e\u0301te\u0301_x", "\u1112\u1161\u11ab abc", "q\u0323\u0301 Stra\u00dfe"]
+    for t in words:
+        assert [w for w, _, _ in match.placed_words(t)] == match.words_of(t)
+    inferrer = WordListInferrer({"parties": ("Blue Heron", "Nordlicht"), "amounts": ("18500",)})
+    text = '{"text": "Nordlicht, blue herron and 1850 blue herrons\\nblue herron"}'
+    found = inferrer.infer(text, ("parties", "amounts"))
+    assert [(i.attribute, i.value, i.spans) for i in found] == [("parties", "Nordlicht", ("Nordlicht",)), ("parties", "Blue Heron", ("blue herron", "blue herrons"))]
+    rewriter = PatternRewriter((("Blue Heron", "{{BUYER}}", 0), ("Nordlicht", "{{SELLER}}", 0)))
+    new = rewriter.rewrite(text, found, ())
+    assert new == '{"text": "{{SELLER}}, {{BUYER}} and 1850 {{BUYER}}\\n{{BUYER}}"}' and inferrer.infer(new, ("parties", "amounts")) == []
+    assert rewriter.rewrite("a", [Inference("parties", "Unknown", spans=("a",))], ()) == "a"
+
+
 def demo_roles():
     return demo()[1]
 

@@ -82,6 +82,18 @@ def test_cards_match_brute_force(spark):
     assert got == want and len(want) > 10
 
 
+def test_names_by_chance(spark, tmp_path):
+    """Syllables that come near a name, and names spelt or spaced otherwise, go in the first round; any line end may be in a text."""
+    said = ["an haly onines ou", "halyon inhe", "haly oninre. haly oniner", "HALCYON\nLINE", "by HalcyonLine (Halcyn Line)", "Halcyon Line, 18500", "the hal\u0301cyo\u0301n line", "Orin Shipping", "nothing", "", None, "a\u2028b", "\u2029", "a\u0085"]
+    turns = [(i, k, ("user", "assistant")[k], t) for i, t in enumerate(said) for k in range(2)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    cur = con.execute(ORACLE["synthesize_conversations"])
+    own = QUERIES["synthesize_conversations"](spark, str(tmp_path))
+    assert rows(own.columns, own.collect()) == rows([c[0] for c in cur.description], cur.fetchall())
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 

@@ -510,7 +510,8 @@ def synthesize_published(spark, d):
 SELECT 'conv_' || conv_id AS trace_id, 'passed_attack' AS status, 1 AS round, count(*) AS n FROM conversations GROUP BY conv_id
 """)
 def synthesize_conversations(spark, d):
-    """The whole loop over every conversation: nothing asked for is in it, so each passes as it is."""
+    """The whole loop over every conversation: what comes near a name by chance is taken out in the first round, and
+    each passes."""
     segments = R.conversation_segments(table(spark, d, "conversations"))
     ground = segments.select("trace_id", F.lit("Halcyon Line").alias("alias")).distinct()
     how = replace(demo()[1], rules=WorldRules())  # rules bind every trace, and these invent nothing

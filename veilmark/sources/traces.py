@@ -51,7 +51,7 @@ def nested(steps: DataFrame) -> DataFrame:
 
 def payload(kind: Column, content: Column, arguments: Column, result: Column) -> Column:
     """The payload of an event as JSON text."""
-    quoted = F.regexp_extract(F.to_json(F.struct(content.alias("text"))), r'^\{"text":(.*)\}$', 1)
+    quoted = F.regexp_extract(F.to_json(F.struct(content.alias("text"))), r'(?s)^\{"text":(.*)\}$', 1)  # with the line ends that JSON leaves as they are
     text = F.concat(F.lit('{"text":'), quoted, F.lit("}"))
     return F.when(kind == "message", text).when(kind == "tool_call", F.concat(F.lit('{"arguments":'), arguments, F.lit("}"))).when(kind == "tool_result", F.concat(F.lit('{"result":'), result, F.lit("}")))
 
